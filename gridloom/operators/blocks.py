@@ -2,7 +2,7 @@
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.constants import AC_STEP_FACTOR, GRADIENT_THRESHOLD
@@ -116,9 +116,8 @@ def windowed(plane: DataFrame, bs: int, value="v") -> DataFrame:
 def classify_blocks(plane: DataFrame, step, value="v") -> DataFrame:
     """Block size (16 or 32) of every 8x8 cell.
 
-    A 32-block needs sixteen cells of low variance and no edge in its four
-    16-blocks.  ``step`` is a Column or number compared as step^2 / 4; a Column
-    may use (image_id, ch) level values joined to the plane beforehand.
+    A 32-block needs sixteen cells whose variance is below step^2 / 4 and no
+    edge in its four 16-blocks.
     """
     cells = block_variance(plane, 8, value)
     limit = F.lit(float(step) ** 2 * 0.25)
@@ -158,43 +157,30 @@ def pixel_blocks(plane: DataFrame, cells: DataFrame, value="v") -> DataFrame:
 def variable_analyze(plane: DataFrame, cells: DataFrame, value="v") -> DataFrame:
     """Spectra of variable-size blocks, scaled so that sizes are comparable.
 
-    Block rows are cut per size; pixels of one size only enter that cut.
+    Whole blocks are packed from their own pixels; only blocks cut by the image
+    edge fetch mirrored pixels, by an equi-join.
     """
-    df = pixel_blocks(with_extent(plane).select(*KEYS, "y", "x", value), cells, value)
     dims = with_extent(plane).groupBy(*KEYS).agg(F.first("h").alias("h"), F.first("w").alias("w"))
-    df = df.join(dims, list(KEYS))
-    # Partial edge blocks: ghost offsets mirror back inside the image.
-    def ghosts(pos, size, origin):
-        end = F.col(origin) + F.col("bs") - 1
-        out = F.when(end >= F.col(size), F.sequence(F.col(size), end)).otherwise(F.array().cast("array<int>"))
-        hits = F.filter(out, lambda j: mirror_index(j, F.col(size)) == F.col(pos))
-        return F.when(end < F.col(size), F.array(F.col(pos))).otherwise(F.concat(F.array(F.col(pos)), hits))
-
-    whole = _edge_rows(df, dims)
-    df = whole.withColumn("_y", F.explode(ghosts("y", "h", "y0"))).withColumn("_x", F.explode(ghosts("x", "w", "x0")))
-    cell = F.struct(((F.col("_y") - F.col("y0")) * F.col("bs") + F.col("_x") - F.col("x0")).alias("i"), F.col(value).alias("v"))
-    packed = df.groupBy(*KEYS, "y0", "x0", "bs").agg(F.sort_array(F.collect_list(cell)).alias("s"), F.first("h").alias("h"), F.first("w").alias("w"))
-    packed = packed.select(*KEYS, "y0", "x0", "bs", "h", "w", dct_blocks(F.col("s.v")).alias("raw"))
+    df = pixel_blocks(plane, cells, value).join(dims, list(KEYS))
+    block = [*KEYS, "y0", "x0", "bs", "h", "w"]
+    fits = (F.col("y0") + F.col("bs") <= F.col("h")) & (F.col("x0") + F.col("bs") <= F.col("w"))
+    offset = (F.col("y") - F.col("y0")) * F.col("bs") + F.col("x") - F.col("x0")
+    inner = df.where(fits).select(*block, offset.alias("i"), F.col(value).alias("v"))
+    steps = F.sequence(F.lit(0), F.col("bs") - 1)
+    edge = df.where(~fits).select(*block).distinct()
+    edge = edge.withColumn("_r", F.explode(steps)).withColumn("_c", F.explode(steps)).select(
+        *block, (F.col("_r") * F.col("bs") + F.col("_c")).alias("i"),
+        mirror_index(F.col("y0") + F.col("_r"), F.col("h")).alias("y"),
+        mirror_index(F.col("x0") + F.col("_c"), F.col("w")).alias("x"),
+    )
+    edge = edge.join(plane.select(*KEYS, "y", "x", F.col(value).alias("v")), [*KEYS, "y", "x"])
+    cells_of = inner.unionByName(edge.select(*inner.columns))
+    packed = cells_of.groupBy(*block).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s"))
+    packed = packed.select(*block, dct_blocks(F.col("s.v")).alias("raw"))
     scale = lambda i: F.when(i == 0, 256.0 / (F.col("bs") * F.col("bs"))).otherwise(16.0 / F.col("bs"))
     return packed.withColumn("coef", F.transform("raw", lambda c, i: c * scale(i))).drop("raw")
 
 
-def _edge_rows(df, dims):
-    """Pixels plus copies needed where a block's mirror source lies in another block."""
-    bs, h, w = F.col("bs"), F.col("h"), F.col("w")
-    # A partial block of size bs starting at y0 needs mirrored rows 2(h-1)-j for
-    # j in h..y0+bs-1; those sources may fall before y0.
-    edge = df.select(*KEYS, "y0", "x0", "bs", "h", "w").where((F.col("y0") + bs > h) | (F.col("x0") + bs > w)).distinct()
-    def sources(origin, size):
-        j = F.sequence(F.col(origin), F.col(origin) + bs - 1)
-        return F.array_distinct(F.transform(j, lambda k: mirror_index(k, F.col(size))))
-    need = edge.withColumn("y", F.explode(sources("y0", "h"))).withColumn("x", F.explode(sources("x0", "w")))
-    v = [c for c in df.columns if c not in (*KEYS, "y", "x", "bs", "y0", "x0", "h", "w")]
-    extra = need.join(df.select(*KEYS, "y", "x", *v), [*KEYS, "y", "x"])
-    inner = df.where((F.col("y0") + bs <= h) & (F.col("x0") + bs <= w))
-    return inner.select(*extra.columns).unionByName(extra)
-
-
 def variable_synthesize(spectra: DataFrame) -> DataFrame:
     """Inverse of :func:`variable_analyze`."""
     scale = lambda i: F.when(i == 0, F.col("bs") * F.col("bs") / 256.0).otherwise(F.col("bs") / 16.0)
@@ -224,36 +210,38 @@ def quantize(coeffs: DataFrame, weighted=True) -> DataFrame:
     """Quantisation study of AC coefficients.
 
     Needs per-row columns: bs, u, w, c, q (quality), step, lum (block mean),
-    foveal, step_mod, strength, angle and optionally chroma.  Adds zz, pos_step,
-    dz, k (level) and dec (dequantised value).
+    foveal, step_mod, strength, angle and optionally chroma.  ``weighted`` is a
+    bool or boolean Column; unweighted rows use one uniform step.  Adds zz,
+    pos_step, dz, k (level) and dec (dequantised value).
     """
+    on = F.lit(weighted) if isinstance(weighted, bool) else weighted
     df = coeffs.where((F.col("u") > 0) | (F.col("w") > 0))
-    idx = F.when(F.col("strength") > GRADIENT_THRESHOLD, quant.angle_index(F.col("angle"))).otherwise(F.lit(-1))
-    df = df.withColumn("angle_idx", idx if weighted else F.lit(-1))
+    turned = on & (F.col("strength") > GRADIENT_THRESHOLD)
+    df = df.withColumn("angle_idx", F.when(turned, quant.angle_index(F.col("angle"))).otherwise(F.lit(-1)))
     table = F.broadcast(qmat_table(df.sparkSession))  # bounded by the block sizes
     df = df.join(table, ["bs", "angle_idx", "u", "w"])
     chroma = F.col("chroma") if "chroma" in df.columns else F.lit(1.0)
     base = F.col("step") * chroma * AC_STEP_FACTOR
-    if weighted:
-        local = F.greatest(base * F.col("foveal") * quant.psychovisual_pivot(F.col("step_mod"), F.col("q")), F.lit(0.1))
-        weight = F.pow("qm", quant.qmat_power(F.col("q"))) * quant.csf_factor(F.col("u"), F.col("w"), F.col("bs"), F.col("lum"))
-        slack = 1.0 + 0.3 * (1.0 - F.col("foveal"))
-    else:
-        local, weight, slack = F.greatest(base, F.lit(0.1)), F.lit(1.0), F.lit(1.0)
+    tuned = base * F.col("foveal") * quant.psychovisual_pivot(F.col("step_mod"), F.col("q"))
+    weight = F.pow("qm", quant.qmat_power(F.col("q"))) * quant.csf_factor(F.col("u"), F.col("w"), F.col("bs"), F.col("lum"))
+    slack = F.when(on, 1.0 + 0.3 * (1.0 - F.col("foveal"))).otherwise(1.0)
     dz = quant.dead_zone_at(F.col("zz"), F.col("bs") * F.col("bs") - 1, quant.dead_zone(F.col("q"))) * slack
-    df = df.withColumns({"pos_step": local * weight, "dz": dz})
+    df = df.withColumns({
+        "pos_step": F.greatest(F.when(on, tuned).otherwise(base), F.lit(0.1)) * F.when(on, weight).otherwise(1.0), "dz": dz,
+    })
     df = df.withColumn("k", quant.deadzone_quantize(F.col("c"), F.col("pos_step"), F.col("dz")))
     return df.withColumn("dec", F.col("k") * F.col("pos_step"))
 
 
-def channel_prediction(luma: DataFrame, chroma: DataFrame) -> DataFrame:
+def channel_prediction(luma: DataFrame, chroma: DataFrame, extra=()) -> DataFrame:
     """Predict chroma coefficients from luma ones, block by block.
 
-    Inputs: (image_id, gy, gx, u, w, c).  Returns the chosen alpha (0 when
-    unused), the residual and the reconstruction.
+    Inputs: (image_id, gy, gx, u, w, c); ``extra`` names further chroma keys.
+    Returns the chosen alpha (0 when unused), the residual and the
+    reconstruction.
     """
-    key = ["image_id", "gy", "gx"]
-    both = luma.withColumnRenamed("c", "l").join(chroma, [*key, "u", "w"])
+    key = ["image_id", "gy", "gx", *extra]
+    both = luma.withColumnRenamed("c", "l").join(chroma, ["image_id", "gy", "gx", "u", "w"])
     s = both.groupBy(*key).agg(
         F.sum(F.col("l") * F.col("l")).alias("l2"), F.sum(F.col("c") * F.col("c")).alias("c2"), F.sum(F.col("l") * F.col("c")).alias("lc")
     )
