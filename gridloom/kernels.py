@@ -7,6 +7,10 @@ unless the array is one of its rows.
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+DOUBLES = T.ArrayType(T.DoubleType())
+COMPLEX = T.StructType([T.StructField("re", DOUBLES), T.StructField("im", DOUBLES)])
 
 
 def cosine_basis(n):
@@ -45,32 +49,32 @@ def _square_transform(basis):
     return apply
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(DOUBLES)
 def dct_blocks(vals: pd.Series) -> pd.Series:
     """Unnormalised 2-D DCT-II of row-major square blocks."""
     return _by_length(vals.to_list(), _square_transform(cosine_basis))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(DOUBLES)
 def idct_blocks(vals: pd.Series) -> pd.Series:
     """Inverse of :func:`dct_blocks`."""
     return _by_length(vals.to_list(), _square_transform(inverse_basis))
 
 
-@F.pandas_udf("struct<re:array<double>,im:array<double>>")
+@F.pandas_udf(COMPLEX)
 def fft_rows(vals: pd.Series) -> pd.DataFrame:
     """Half spectrum of each real row."""
     spec = _by_length(vals.to_list(), lambda s, n: np.fft.rfft(s, axis=1))
     return pd.DataFrame({"re": [z.real for z in spec], "im": [z.imag for z in spec]})
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(DOUBLES)
 def ifft_rows(re: pd.Series, im: pd.Series, n: pd.Series) -> pd.Series:
     """Real rows of length ``n`` from half spectra."""
     return pd.Series([np.fft.irfft(a + 1j * b, n=int(k)) for a, b, k in zip(re, im, n)])
 
 
-@F.pandas_udf("struct<re:array<double>,im:array<double>>")
+@F.pandas_udf(COMPLEX)
 def wiener_columns(re: pd.Series, im: pd.Series, size: pd.Series, noise: pd.Series) -> pd.DataFrame:
     """Column transform, spectral gain and inverse column transform."""
     out_re, out_im = [], []
@@ -97,7 +101,7 @@ def _bd_rate(rate_a, psnr_a, rate_b, psnr_b):
     return (np.exp((area[0] - area[1]) / (hi - lo)) - 1.0) * 100.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def bd_rate(ra: pd.Series, pa: pd.Series, rb: pd.Series, pb: pd.Series) -> pd.Series:
     return pd.Series([_bd_rate(*map(np.asarray, q)) for q in zip(ra, pa, rb, pb)], dtype="float64")
 
@@ -108,7 +112,7 @@ def _u8_pixels(data, height, width, channels):
     return np.repeat(img, 3, axis=2) if channels == 1 else img[:, :, 2::-1]
 
 
-@F.pandas_udf("array<array<int>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def image_rows(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
     """Each image as a list of rows of packed 24-bit colours."""
     out = []

@@ -258,10 +258,10 @@ def golden_residual(grid: DataFrame, value="q", tile=256) -> DataFrame:
     """Prediction residual of a quantised grid from its left, upper and diagonal cells."""
     from gridloom.constants import PHI_INV, PHI_INV2, PHI_INV3
     from gridloom.functions.numeric import round_half_away
-    from gridloom.tiling import COL, ROW, at, owned, tiled
+    from gridloom.tiling import columns, rows, at, owned, tiled
 
-    df = tiled(grid, 1, tile=tile).withColumn("_l", at(value, -1, ROW))
-    df = df.withColumns({"_t": at(value, -1, COL), "_d": at("_l", -1, COL)})
+    df = tiled(grid, 1, tile=tile).withColumn("_l", at(value, -1, rows()))
+    df = df.withColumns({"_t": at(value, -1, columns()), "_d": at("_l", -1, columns())})
     mix = (F.col("_l") * PHI_INV + F.col("_t") * PHI_INV2 + F.col("_d") * PHI_INV3) / (PHI_INV + PHI_INV2 + PHI_INV3)
     pred = F.when(F.col("_d").isNotNull(), round_half_away(mix)).otherwise(F.coalesce("_l", "_t", F.lit(0)))
     df = owned(df.withColumn("residual", (F.col(value) - pred).cast("int")), tile)

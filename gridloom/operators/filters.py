@@ -12,7 +12,7 @@ from gridloom.operators.orderstat import order_statistic
 from gridloom.operators.stencil import (
     PIXEL, _keep, _sobel_terms, blurred, box_extreme, box_sum, conv_expr, forward_difference, resize, subsample,
 )
-from gridloom.tiling import COL, KEYS, ROW, TILE, at, cross, ring, tiled, with_extent
+from gridloom.tiling import columns, KEYS, rows, TILE, at, cross, ring, tiled, with_extent
 
 IMAGE = list(KEYS)
 
@@ -103,7 +103,7 @@ def contrast_adaptive_unsharp(plane: DataFrame, strength, value="v", tile=TILE)
         F.when(big > 2000, t[0] / norm[0]).when(big > 1000, t[1] / norm[1]).otherwise(t[2] / norm[2]) for t in taps
     ]
     blur = lambda c, w: sum((at(c, k, w) * weights[k + 6] for k in range(-5, 7)), at(c, -6, w) * weights[0])
-    df = df.withColumn("_h", blur(value, ROW)).withColumn("_b", blur("_h", COL))
+    df = df.withColumn("_h", blur(value, rows())).withColumn("_b", blur("_h", columns()))
     df = ring(df, value)
     gx, gy = _sobel_terms()
     edge = F.when(_interior(), F.sqrt(gx * gx + gy * gy)).otherwise(F.lit(0.0))
@@ -166,8 +166,8 @@ def _seam_smooth(df, value, name, axis, size, bs, window):
 def deblock_smooth(plane: DataFrame, bs: int, value="v", tile=TILE) -> DataFrame:
     """Erase smooth block seams: vertical ones first, then horizontal ones."""
     df = tiled(with_extent(plane), 2, tile=tile)
-    df = _seam_smooth(df, value, "_v1", "x", "w", bs, ROW)
-    return _keep(_seam_smooth(df, "_v1", "out", "y", "h", bs, COL), "out", tile=tile)
+    df = _seam_smooth(df, value, "_v1", "x", "w", bs, rows())
+    return _keep(_seam_smooth(df, "_v1", "out", "y", "h", bs, columns()), "out", tile=tile)
 
 
 def _seam_ramp(df, value, name, axis, size, bs, other):
@@ -216,11 +216,11 @@ def sigma_filter(plane: DataFrame, step: float, value="v", pad=3, threshold=6.0,
     v = F.col(value)
     real = (F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("h")) & (F.col("x") < F.col("w"))
     df = df.withColumns({
-        "_gx": F.when(F.col("x") + 1 < F.col("w"), F.abs(at(value, 1, ROW) - v)).otherwise(0.0),
-        "_line": F.collect_list(value).over(ROW.rowsBetween(-pad, pad)),
+        "_gx": F.when(F.col("x") + 1 < F.col("w"), F.abs(at(value, 1, rows()) - v)).otherwise(0.0),
+        "_line": F.collect_list(value).over(rows().rowsBetween(-pad, pad)),
     }).withColumns({
-        "_gy": F.when(F.col("y") + 1 < F.col("h"), F.abs(at(value, 1, COL) - v)).otherwise(0.0),
-        "_near": F.flatten(F.collect_list("_line").over(COL.rowsBetween(-pad, pad))),
+        "_gy": F.when(F.col("y") + 1 < F.col("h"), F.abs(at(value, 1, columns()) - v)).otherwise(0.0),
+        "_near": F.flatten(F.collect_list("_line").over(columns().rowsBetween(-pad, pad))),
     })
     df = df.withColumn("_g", F.when(real, F.greatest("_gx", "_gy")).otherwise(0.0))
     df = box_extreme(df, "_g", pad, F.max, "_peak")
@@ -261,8 +261,8 @@ def flat_region_smooth(plane: DataFrame, bs: int, strength: float, value="v", ti
     reach = int(min(max(math.floor(bs / 2.0 * strength + 0.5), 2), bs))
     limit = min(max(3.0 / max(strength, 0.1), 2.0), 10.0)
     df = tiled(with_extent(plane), reach, tile=tile)
-    df = _run_mean(df, value, "_v1", reach, limit, ROW)
-    df = _run_mean(df, "_v1", "_v2", reach, limit, COL)
+    df = _run_mean(df, value, "_v1", reach, limit, rows())
+    df = _run_mean(df, "_v1", "_v2", reach, limit, columns())
     small = (F.col("h") < 2) | (F.col("w") < 2)
     return _keep(df.withColumn("out", F.when(small, F.col(value)).otherwise(F.col("_v2"))), "out", tile=tile)
 
@@ -370,3 +370,28 @@ def perceptual_deadzone_map(plane: DataFrame, base: float, midtone=False, value=
     texture = clamp(F.col("g") / F.greatest("g95", F.lit(1.0)), 0.0, 1.0)
     gain = (1.0 + 0.5 * F.sin(math.pi * t) * F.sin(math.pi * t)) if midtone else F.lit(1.0)
     return df.select(*PIXEL, (base * gain * (1.0 - PHI_INV * sens * texture)).alias("out"))
+
+
+def wiener_denoise(plane: DataFrame, sigma: float, value="v") -> DataFrame:
+    """Spectral noise suppression; does nothing below sigma 5.
+
+    Rows are transformed, the shuffle transposes, columns are transformed,
+    gained and inverted, and a second transpose restores rows.  A task holds
+    single rows or columns, never an image.
+    """
+    from gridloom.kernels import fft_rows, ifft_rows, wiener_columns
+
+    if sigma < 5.0:
+        return plane.select(*PIXEL, F.col(value).alias("out"))
+    df = with_extent(plane)
+    line = F.sort_array(F.collect_list(F.struct("x", F.col(value).alias("v"))))
+    lines = df.groupBy(*KEYS, "h", "w", "y").agg(line.alias("s")).select(*KEYS, "h", "w", "y", fft_rows(F.col("s.v")).alias("f"))
+    spec = lines.select(*KEYS, "h", "w", "y", F.posexplode(F.arrays_zip("f.re", "f.im")).alias("k", "z"))
+    col = F.sort_array(F.collect_list(F.struct("y", "z.re", "z.im")))
+    cols = spec.groupBy(*KEYS, "h", "w", "k").agg(col.alias("s"))
+    size = F.col("h").cast("double") * F.col("w")
+    cols = cols.select(*KEYS, "h", "w", "k", wiener_columns(F.col("s.re"), F.col("s.im"), size, F.lit(float(sigma))).alias("f"))
+    back = cols.select(*KEYS, "h", "w", "k", F.posexplode(F.arrays_zip("f.re", "f.im")).alias("y", "z"))
+    line = F.sort_array(F.collect_list(F.struct("k", "z.re", "z.im")))
+    rows_ = back.groupBy(*KEYS, "w", "y").agg(line.alias("s")).select(*KEYS, "y", ifft_rows(F.col("s.re"), F.col("s.im"), "w").alias("o"))
+    return rows_.select(*KEYS, "y", F.posexplode("o").alias("x", "v")).select(*PIXEL, clamp(F.col("v"), 0.0, 255.0).alias("out"))

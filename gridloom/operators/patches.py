@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.kernels import DOUBLES
 from gridloom.tiling import KEYS, with_extent
 
 PATCH = [*KEYS, "x0", "y0", "pw", "ph"]
@@ -22,7 +23,7 @@ def _fit_matrix(pw, ph):
     return np.linalg.pinv(a)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(DOUBLES)
 def _fit(vals: pd.Series, pw: pd.Series, ph: pd.Series) -> pd.Series:
     table, out = {}, []
     for v, w, h in zip(vals, pw, ph):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.quant import rate_bits
 from gridloom.kernels import bd_rate as _bd_rate
-from gridloom.tiling import COL, KEYS, ROW, at, owned, tiled
+from gridloom.tiling import columns, KEYS, rows, at, owned, tiled
 
 IMAGE = list(KEYS)
 
@@ -28,8 +28,8 @@ def compare(pairs: DataFrame, bs=8) -> DataFrame:
     """
     both = F.struct(F.col("v_orig").alias("o"), F.col("v_dec").alias("d"))
     df = tiled(pairs, 1).withColumn("_p", both)
-    df = df.withColumn("_l", at("_p", -1, ROW)).withColumn("_r", at("_p", 1, ROW))
-    df = df.withColumn("_u", at("_p", -1, COL)).withColumn("_d", at("_p", 1, COL))
+    df = df.withColumn("_l", at("_p", -1, rows())).withColumn("_r", at("_p", 1, rows()))
+    df = df.withColumn("_u", at("_p", -1, columns())).withColumn("_d", at("_p", 1, columns()))
     df = owned(df)
     err = F.col("v_orig") - F.col("v_dec")
     sums = {"se": err * err, "ae": F.abs(err)}

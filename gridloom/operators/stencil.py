@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.constants import RIDGE_THRESHOLD
-from gridloom.tiling import COL, KEYS, ROW, TILE, at, cross, owned, ring, tiled, with_extent
+from gridloom.tiling import columns, KEYS, rows, TILE, at, cross, owned, ring, tiled, with_extent
 
 PIXEL = [*KEYS, "y", "x"]
 
@@ -24,8 +24,8 @@ def forward_difference(plane: DataFrame, value="v", tile=TILE) -> DataFrame:
     df = tiled(plane, 1, tile=tile)
     v = F.col(value)
     df = df.withColumns({
-        "dx": F.coalesce(at(value, 1, ROW) - v, F.lit(0.0)),
-    }).withColumn("dy", F.coalesce(at(value, 1, COL) - v, F.lit(0.0)))
+        "dx": F.coalesce(at(value, 1, rows()) - v, F.lit(0.0)),
+    }).withColumn("dy", F.coalesce(at(value, 1, columns()) - v, F.lit(0.0)))
     df = df.withColumn("g", F.greatest(F.abs("dx"), F.abs("dy")))
     return _keep(df, "dx", "dy", "g", value, tile=tile)
 
@@ -75,8 +75,8 @@ def _taps(value, radius, weights, window):
 def blurred(df: DataFrame, value, sigma, name, radius=None) -> DataFrame:
     """Separable Gaussian on an already tiled frame with ghost borders."""
     radius, weights = gaussian_weights(sigma, radius)
-    return df.withColumn("_h", _taps(value, radius, weights, ROW)).withColumn(
-        name, _taps("_h", radius, weights, COL)
+    return df.withColumn("_h", _taps(value, radius, weights, rows())).withColumn(
+        name, _taps("_h", radius, weights, columns())
     ).drop("_h")
 
 
@@ -122,7 +122,7 @@ def max_neighbour_difference(plane: DataFrame, value="v", tile=TILE) -> DataFram
 
 def box_sum(df, value, r, name):
     """Sum over the part of the (2r+1)^2 window that exists, on a tiled frame."""
-    row, col = ROW.rowsBetween(-r, r), COL.rowsBetween(-r, r)
+    row, col = rows().rowsBetween(-r, r), columns().rowsBetween(-r, r)
     return df.withColumn("_s", F.sum(value).over(row)).withColumn(name, F.sum("_s").over(col)).drop("_s")
 
 
@@ -134,7 +134,7 @@ def box_mean(plane: DataFrame, value="v", tile=TILE) -> DataFrame:
 
 
 def box_extreme(df, value, r, fn, name):
-    row, col = ROW.rowsBetween(-r, r), COL.rowsBetween(-r, r)
+    row, col = rows().rowsBetween(-r, r), columns().rowsBetween(-r, r)
     return df.withColumn("_e", fn(value).over(row)).withColumn(name, fn("_e").over(col)).drop("_e")
 
 
@@ -149,7 +149,7 @@ def edge_zone(plane: DataFrame, pad=3, threshold=6.0, value="v", tile=TILE) -> D
     """Pixels within ``pad`` of a forward difference above ``threshold``."""
     df = tiled(plane, pad + 1, tile=tile)
     v = F.col(value)
-    df = df.withColumn("_gx", F.abs(at(value, 1, ROW) - v)).withColumn("_gy", F.abs(at(value, 1, COL) - v))
+    df = df.withColumn("_gx", F.abs(at(value, 1, rows()) - v)).withColumn("_gy", F.abs(at(value, 1, columns()) - v))
     df = df.withColumn("_g", F.coalesce(F.greatest("_gx", "_gy"), F.lit(0.0)))
     df = box_extreme(df, "_g", pad, F.max, "peak").withColumn("edge", F.col("peak") > threshold)
     return _keep(df, "peak", "edge", tile=tile)

@@ -5,17 +5,17 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.kernels import image_rows
 
 # Fixed value: little-endian header after the 4-byte magic.
 HEADER = struct.Struct("<BBHHBf6f")
 MAGIC = b"AUR2"
-HEADER_SCHEMA = (
-    "struct<ok:boolean,version:int,quality:int,width:int,height:int,levels:int,step:double,"
-    "l_min:double,l_max:double,c1_min:double,c1_max:double,c2_min:double,c2_max:double>"
-)
 FIELDS = ("version", "quality", "width", "height", "levels", "step", "l_min", "l_max", "c1_min", "c1_max", "c2_min", "c2_max")
+HEADER_SCHEMA = T.StructType(
+    [T.StructField("ok", T.BooleanType())] + [T.StructField(n, T.IntegerType() if i < 5 else T.DoubleType()) for i, n in enumerate(FIELDS)]
+)
 
 
 def list_images(spark, folder: str, pattern="*.png") -> DataFrame:

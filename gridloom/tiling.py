@@ -17,8 +17,16 @@ from gridloom.functions.index import border_index
 KEYS = ("image_id", "ch")
 TILE = 256
 
-ROW = Window.partitionBy(*KEYS, "ty", "tx", "y").orderBy("x")
-COL = Window.partitionBy(*KEYS, "ty", "tx", "x").orderBy("y")
+
+def rows():
+    """Window along a row of a tile."""
+    return Window.partitionBy(*KEYS, "ty", "tx", "y").orderBy("x")
+
+
+def columns():
+    """Window along a column of a tile."""
+    return Window.partitionBy(*KEYS, "ty", "tx", "x").orderBy("y")
+
 
 
 def extent(plane: DataFrame) -> DataFrame:
@@ -67,7 +75,7 @@ def _axis_slots(pos, n, radius, border, tile):
 
 
 def tiled(plane: DataFrame, radius: int, border=None, tile: int = TILE) -> DataFrame:
-    """Plane plus halo, partitioned by tile; windows ROW and COL apply to it.
+    """Plane plus halo, partitioned by tile; windows rows() and columns() apply to it.
 
     ``border`` is None (stencils see nulls outside), "clamp" or "reflect".
     """
@@ -104,10 +112,10 @@ def at(column, offset, window):
 def ring(df: DataFrame, value: str = "v") -> DataFrame:
     """Add the 3x3 neighbourhood as columns n00..n22 (row, column)."""
     row = F.struct(
-        at(value, -1, ROW).alias("a"), F.col(value).alias("b"), at(value, 1, ROW).alias("c")
+        at(value, -1, rows()).alias("a"), F.col(value).alias("b"), at(value, 1, rows()).alias("c")
     )
     df = df.withColumn("_r1", row)
-    df = df.withColumn("_r0", at("_r1", -1, COL)).withColumn("_r2", at("_r1", 1, COL))
+    df = df.withColumn("_r0", at("_r1", -1, columns())).withColumn("_r2", at("_r1", 1, columns()))
     cols = {f"n{i}{j}": F.col(f"_r{i}.{f}") for i in range(3) for j, f in enumerate("abc")}
     return df.withColumns(cols).drop("_r0", "_r1", "_r2")
 
@@ -115,5 +123,5 @@ def ring(df: DataFrame, value: str = "v") -> DataFrame:
 def cross(df: DataFrame, value: str = "v") -> DataFrame:
     """Add the four direct neighbours as columns up, down, left, right."""
     return df.withColumns({
-        "left": at(value, -1, ROW), "right": at(value, 1, ROW),
-    }).withColumns({"up": at(value, -1, COL), "down": at(value, 1, COL)})
+        "left": at(value, -1, rows()), "right": at(value, 1, rows()),
+    }).withColumns({"up": at(value, -1, columns()), "down": at(value, 1, columns())})
