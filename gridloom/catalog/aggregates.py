@@ -78,7 +78,7 @@ def _structure_sql(q):
     return q.cte(f"SELECT {q.PX}, 1.30 + least(greatest(grad / greatest(med, 1.0), 0.0) / 2.0, 1.0) * (0.80 - 1.30) AS factor FROM {g} JOIN {s} USING (image_id, ch)")
 
 
-add("structure_factor", lambda c: sx.structure_factor(sx.block_mean(c.ship(), 4)), _structure_sql, PX, "factor")
+add("structure_factor", lambda c: sx.structure_factor(sx.block_mean(c.ship(), 4)), _structure_sql, PX, "factor", digits=9)
 add("foveal_factor", lambda c: sx.foveal_factor(sx.block_mean(c.ship(), 4)), lambda q: q.foveal(q.block_mean(q.ship(), 4)), PX, "foveal")
 add("edge_class", lambda c: sx.edge_class(sx.block_mean(c.ship(), 4)), lambda q: q.edge_class(q.block_mean(q.ship(), 4)), PX, "angle", "kind")
 

@@ -193,12 +193,12 @@ def _soft_sql(q, scale):
 
 
 def _deblock_sql(q):
-    s = _soft_sql(q, 60.0)
+    s = _soft_sql(q, 61.3)
     a = _smooth_pass(q, s, "x", "w", "y", 8)
     return q.cte(f"SELECT {q.PX}, v AS out FROM {_smooth_pass(q, a, 'y', 'h', 'x', 8)}")
 
 
-add("deblock_smooth", lambda c: fl.deblock_smooth(_soft(c, 60.0), 8), _deblock_sql, PX, "out")
+add("deblock_smooth", lambda c: fl.deblock_smooth(_soft(c, 61.3), 8), _deblock_sql, PX, "out")
 
 
 def _ramp_pass(q, src, axis, size, other, bs):
@@ -249,10 +249,10 @@ def _velvet_sql(q):
         total = " + ".join(f"CASE WHEN {c} THEN {n} ELSE 0.0 END" for n, c in ok)
         count = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for n, c in ok)
         return q.cte(f"SELECT {q.PX}, (v + {total}) / (1 + {count}) AS v FROM {a}")
-    return q.cte(f"SELECT {q.PX}, v AS out FROM {go(go(_soft_sql(q, 20.0), 'x', 'y'), 'y', 'x')}")
+    return q.cte(f"SELECT {q.PX}, v AS out FROM {go(go(_soft_sql(q, 21.7), 'x', 'y'), 'y', 'x')}")
 
 
-add("flat_region_smooth", lambda c: fl.flat_region_smooth(_soft(c, 20.0), 8, 1.0), _velvet_sql, PX, "out")
+add("flat_region_smooth", lambda c: fl.flat_region_smooth(_soft(c, 21.7), 8, 1.0), _velvet_sql, PX, "out")
 
 
 def _dering_sql(q):
