@@ -265,7 +265,7 @@ add("top_energy", lambda c: top_energy(bl.coefficients(bl.block_analyze(c.plane(
     lambda q: q.cte(
         f"SELECT * FROM (SELECT *, row_number() OVER o AS rank, sum(c * c) OVER (o ROWS UNBOUNDED PRECEDING) / sum(c * c) OVER (PARTITION BY image_id, gy, gx) AS share FROM (SELECT image_id, ch, gy, gx, u, w, round(c, 6) AS c FROM {q.dct(q.plane(), 8)} WHERE u + w > 0) "
         f"WINDOW o AS (PARTITION BY image_id, gy, gx ORDER BY c * c DESC, u * 8 + w)) WHERE rank <= 5"),
-    BK + " u w rank", "c share", digits=5)
+    BK + " u w rank", "c share")
 
 # ---- whole colour images ---------------------------------------------------
 add("color_planes", lambda c: color_planes(c.pixels()),

@@ -13,7 +13,7 @@ from gridloom.kernels import dct_blocks, idct_blocks
 from gridloom.operators.orderstat import dense_position
 from gridloom.operators.orders import zigzag_table
 from gridloom.operators.stats import block_mean, block_variance, edge_class
-from gridloom.tiling import KEYS, with_extent
+from gridloom.tiling import KEYS, image_sizes, with_extent
 
 BLOCK = [*KEYS, "gy", "gx"]
 
@@ -160,7 +160,7 @@ def variable_analyze(plane: DataFrame, cells: DataFrame, value="v") -> DataFrame
     Whole blocks are packed from their own pixels; only blocks cut by the image
     edge fetch mirrored pixels, by an equi-join.
     """
-    dims = with_extent(plane).groupBy(*KEYS).agg(F.first("h").alias("h"), F.first("w").alias("w"))
+    dims = image_sizes(plane)
     df = pixel_blocks(plane, cells, value).join(dims, list(KEYS))
     block = [*KEYS, "y0", "x0", "bs", "h", "w"]
     fits = (F.col("y0") + F.col("bs") <= F.col("h")) & (F.col("x0") + F.col("bs") <= F.col("w"))

@@ -7,7 +7,7 @@ from gridloom.constants import GOLDEN_ANGLE
 from gridloom.functions.numeric import clamp, round_half_away
 from gridloom.operators.orderstat import dense_position
 from gridloom.operators.sequences import with_previous
-from gridloom.tiling import KEYS, with_extent
+from gridloom.tiling import KEYS, image_sizes, with_extent
 
 
 def zigzag_table(spark, sizes=(8, 16, 32)) -> DataFrame:
@@ -47,7 +47,7 @@ def covering_order(plane: DataFrame, chunk=1 << 16) -> DataFrame:
     landed on follow in raster order.
     """
     df = with_extent(plane)
-    dims = df.groupBy(*KEYS).agg(F.first("h").alias("h"), F.first("w").alias("w"))
+    dims = image_sizes(plane)
     h, w = F.col("h"), F.col("w")
     size = h.cast("long") * w
     # One row per image row first, so a large image is generated by many tasks.

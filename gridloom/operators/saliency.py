@@ -6,25 +6,28 @@ from pyspark.sql import functions as F
 from gridloom.constants import K_STEP, PHI, SIGMA_A, SIGMA_RATIO
 from gridloom.functions.quant import saliency_bucket
 from gridloom.operators.orderstat import normalize
-from gridloom.operators.stencil import PIXEL, _keep, blurred, gaussian_weights, sobel
-from gridloom.tiling import KEYS, tiled
+from gridloom.operators.stencil import PIXEL, _keep, blurred, gaussian_weights, sobel, with_sobel
+from gridloom.tiling import KEYS, TILE, tiled, with_extent
 
 IMAGE = list(KEYS)
 
 
-def saliency_field(grid: DataFrame, sigma=SIGMA_A, ratio=SIGMA_RATIO, k_step=K_STEP, value="v") -> DataFrame:
+def saliency_field(grid: DataFrame, sigma=SIGMA_A, ratio=SIGMA_RATIO, k_step=K_STEP, value="v", tile=TILE) -> DataFrame:
     """Difference of two blurs of the edge map, with the wide blur's gradient.
 
-    Both blurs share one halo exchange, sized for the wider kernel.
+    One halo exchange makes the edge map; a second, sized for the wide kernel
+    plus one ring, serves both blurs and the gradient of the wide one.
     """
-    edges = sobel(grid, value).select(*PIXEL, F.col("mag").alias("e"))
+    edges = sobel(with_extent(grid), value, tile).select(*PIXEL, F.col("mag").alias("e"), "h", "w")
     wide = sigma * ratio
     reach, _ = gaussian_weights(wide)
-    df = tiled(edges, reach, "clamp")
+    df = tiled(edges, reach + 1, "clamp", tile)
     df = blurred(blurred(df, "e", sigma, "act"), "e", wide, "inh")
-    df = _keep(df, "act", "inh").withColumn("dog", F.greatest(F.col("act") - F.col("inh"), F.lit(0.0)))
-    slope = sobel(df.select(*PIXEL, "inh"), "inh").select(*PIXEL, F.col("mag").alias("grad"), "angle")
-    df = normalize(df, KEYS, "dog", "unit", "t").join(slope, PIXEL)
+    real = (F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("h")) & (F.col("x") < F.col("w"))
+    df = with_sobel(df.withColumn("inh", F.when(real, F.col("inh"))), "inh")
+    df = df.withColumn("dog", F.greatest(F.col("act") - F.col("inh"), F.lit(0.0)))
+    df = _keep(df, "dog", F.col("mag").alias("grad"), "angle", tile=tile)
+    df = normalize(df, KEYS, "dog", "unit", "t")
     return df.select(*PIXEL, "t", F.pow(F.lit(PHI), -k_step * F.col("t")).alias("step_mod"), "grad", "angle")
 
 

@@ -36,25 +36,30 @@ def _sobel_terms():
     return gx, gy
 
 
-def sobel(plane: DataFrame, value="v", tile=TILE) -> DataFrame:
-    """3x3 gradient magnitude and direction.
-
-    Inside, the kernel is divided by 4; at any border pixel the clamped cross
-    difference is halved instead.
-    """
-    df = ring(tiled(plane, 1, tile=tile), value)
+def with_sobel(df: DataFrame, value="v") -> DataFrame:
+    """Add mag and angle on a tiled frame; outside pixels must be null or absent."""
+    df = ring(df, value)
     gx, gy = _sobel_terms()
     inside = F.col("n00").isNotNull() & F.col("n22").isNotNull()
     v = F.col(value)
     bx = (F.coalesce("n12", v) - F.coalesce("n10", v)) * 0.5
     by = (F.coalesce("n21", v) - F.coalesce("n01", v)) * 0.5
-    df = df.withColumns({
+    return df.withColumns({
         "gx": F.when(inside, gx / 4.0).otherwise(bx), "gy": F.when(inside, gy / 4.0).otherwise(by),
     }).withColumns({
         "mag": F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")),
         "angle": F.atan2("gy", "gx"),
     })
-    return _keep(df, "mag", "angle", value, tile=tile)
+
+
+def sobel(plane: DataFrame, value="v", tile=TILE) -> DataFrame:
+    """3x3 gradient magnitude and direction.
+
+    Inside, the kernel is divided by 4; at any border pixel the clamped cross
+    difference is halved instead.
+    """
+    size = [c for c in ("h", "w") if c in plane.columns]
+    return _keep(with_sobel(tiled(plane, 1, tile=tile), value), "mag", "angle", value, *size, tile=tile)
 
 
 def gaussian_weights(sigma, radius=None):

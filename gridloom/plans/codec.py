@@ -9,7 +9,8 @@ from gridloom.constants import PHI
 from gridloom.operators.blocks import block_analyze, block_synthesize, channel_prediction, coefficients, quantize
 from gridloom.operators.filters import deblock_smooth, sigma_filter
 from gridloom.plans.rate_distortion import block_facts, mean_grid, steps_per_quality
-from gridloom.tiling import KEYS
+from gridloom.session import cut_lineage
+from gridloom.tiling import KEYS, image_sizes
 
 BLOCK = ["image_id", "gy", "gx"]
 
@@ -34,33 +35,34 @@ def reconstruct(pixels: DataFrame, q: int, bs=16, clean=True) -> DataFrame:
     """Quantise and decode every image at one quality; returns RGB pixels.
 
     Chroma blocks are predicted from dequantised luma blocks when that pays.
+    Three results feed several branches and are materialised: the spectra, the
+    grid of block means and the quantised luma.
     """
     planes = color_planes(pixels)
-    spectra = block_analyze(planes, bs)
+    dims = image_sizes(pixels.withColumn("ch", F.lit(0))).drop("ch")
+    spectra = cut_lineage(block_analyze(planes, bs).drop("h", "w"))
     luma_plane = planes.where("ch = 0")
-    grid = mean_grid(spectra.where("ch = 0"))
+    grid = cut_lineage(mean_grid(spectra.where("ch = 0")))
     facts = block_facts(grid).drop("ch")
     steps = steps_per_quality(luma_plane, grid, (q,)).select("image_id", "q", "step")
-    co = coefficients(spectra.drop("h", "w")).join(facts, BLOCK).join(steps, "image_id")
-    co = co.withColumn("chroma", F.when(F.col("ch") == 1, F.lit(PHI)).otherwise(1.0))
-    luma = quantize(co.where("ch = 0"))
+    blocks = cut_lineage(spectra.join(facts, BLOCK).join(steps, "image_id"))
+    co = coefficients(blocks).withColumn("chroma", F.when(F.col("ch") == 1, F.lit(PHI)).otherwise(1.0))
+    luma = cut_lineage(quantize(co.where("ch = 0")).select("ch", *BLOCK, "bs", "u", "w", "dec"))
     pred = channel_prediction(
         luma.select(*BLOCK, "u", "w", F.col("dec").alias("c")), co.where("ch > 0 and u + w > 0").select("ch", *BLOCK, "u", "w", "c"), extra=["ch"]
     )
     side = co.where("ch > 0").drop("c").join(pred.select("ch", *BLOCK, "u", "w", F.col("residual").alias("c"), "alpha"), ["ch", *BLOCK, "u", "w"])
-    side = quantize(side)
     base = luma.select(*BLOCK, "u", "w", F.col("dec").alias("l"))
-    side = side.join(base, [*BLOCK, "u", "w"]).withColumn("dec", F.col("dec") + F.col("alpha") * F.col("l"))
+    side = quantize(side).join(base, [*BLOCK, "u", "w"]).withColumn("dec", F.col("dec") + F.col("alpha") * F.col("l"))
+    dc = co.where("u = 0 and w = 0").withColumnRenamed("c", "dec")
     slim = lambda d: d.select("ch", *BLOCK, "bs", "u", "w", "dec")
-    dc = coefficients(spectra.drop("h", "w")).where("u = 0 and w = 0").select("ch", *BLOCK, "bs", "u", "w", F.col("c").alias("dec"))
-    all_c = slim(luma).unionByName(slim(side)).unionByName(dc)
     cell = F.struct((F.col("u") * F.col("bs") + F.col("w")).alias("i"), "dec")
-    packed = all_c.groupBy(*KEYS, "gy", "gx", "bs").agg(F.sort_array(F.collect_list(cell)).alias("s"))
-    dims = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    packed = slim(luma).unionByName(slim(side)).unionByName(slim(dc)).groupBy(*KEYS, "gy", "gx", "bs").agg(F.sort_array(F.collect_list(cell)).alias("s"))
     packed = packed.select(*KEYS, "gy", "gx", "bs", F.col("s.dec").alias("coef")).join(dims, "image_id")
     out = block_synthesize(packed)
     if clean:
-        smooth = deblock_smooth(out.where("ch = 0"), bs).withColumnRenamed("out", "v")
-        smooth = sigma_filter(smooth, 4.0).withColumnRenamed("out", "v")
+        out = cut_lineage(out)
+        smooth = deblock_smooth(out.where("ch = 0").join(dims, "image_id"), bs).withColumnRenamed("out", "v")
+        smooth = sigma_filter(smooth.join(dims, "image_id"), 4.0).withColumnRenamed("out", "v")
         out = smooth.unionByName(out.where("ch > 0"))
     return pixels_from_planes(out)

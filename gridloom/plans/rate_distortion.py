@@ -18,7 +18,8 @@ from gridloom.operators.quality import psnr
 from gridloom.operators.saliency import saliency_field, with_strength
 from gridloom.operators.sequences import entropy_of_counts
 from gridloom.operators.stats import complexity, foveal_factor, scene_profile
-from gridloom.tiling import KEYS, extent
+from gridloom.session import cut_lineage
+from gridloom.tiling import KEYS, image_sizes
 
 QUALITIES = (20, 30, 40, 50, 60, 70, 80, 90)
 IMAGE = list(KEYS)
@@ -68,7 +69,8 @@ def rd_points(plane: DataFrame, qualities=QUALITIES, bs=8) -> DataFrame:
     levels.  Exact for images whose sides are multiples of ``bs``.
     """
     spectra = block_analyze(plane, bs)
-    grid = mean_grid(spectra)
+    # The grid has one row per block and feeds many branches: compute it once.
+    grid = cut_lineage(mean_grid(spectra))
     steps = steps_per_quality(plane, grid, qualities)
     blocks = spectra.select(*BLOCK, "bs", "coef").join(block_facts(grid), BLOCK)
     co = coefficients(blocks).withColumn("c", F.round("c", 9))
@@ -88,7 +90,7 @@ def rd_points(plane: DataFrame, qualities=QUALITIES, bs=8) -> DataFrame:
     dc_bits = entropy_of_counts(
         golden_residual(dc.drop("err")).groupBy("image_id", F.col("ch").alias("q"), "residual").agg(F.count(F.lit(1)).alias("c")), ["image_id", "q"], "c"
     ).select("image_id", "q", (F.col("n") * F.col("entropy")).alias("dc_bits"))
-    size = extent(plane).select("image_id", (F.col("h").cast("double") * F.col("w")).alias("px"))
+    size = image_sizes(plane).select("image_id", (F.col("h").cast("double") * F.col("w")).alias("px"))
     df = ac.join(dc_se, ["image_id", "q"]).join(dc_bits, ["image_id", "q"]).join(size, "image_id")
     mse = (F.col("ac_se") + F.col("dc_se")) / F.col("px")
     return df.select(*point, ((F.col("ac_bits") + F.col("dc_bits")) / F.col("px")).alias("bpp"), psnr(mse, 99.0).alias("psnr"))

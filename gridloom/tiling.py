@@ -36,8 +36,19 @@ def extent(plane: DataFrame) -> DataFrame:
     )
 
 
+def image_sizes(plane: DataFrame) -> DataFrame:
+    """The same, from the ``h`` and ``w`` columns when the source carries them."""
+    if {"h", "w"} <= set(plane.columns):
+        return plane.groupBy(*KEYS).agg(F.first("h").alias("h"), F.first("w").alias("w"))
+    return extent(plane)
+
+
 def with_extent(plane: DataFrame) -> DataFrame:
-    """Add ``h`` and ``w``; free when the source already carries them."""
+    """Add ``h`` and ``w``; free when the source already carries them.
+
+    Otherwise the plane is read twice: once for its extent and once to carry
+    it.  Chains of filters should therefore keep the two columns.
+    """
     if {"h", "w"} <= set(plane.columns):
         return plane
     return plane.join(extent(plane), list(KEYS))
