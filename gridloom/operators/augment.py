@@ -79,14 +79,15 @@ def _paint(pixels, painted):
     return df.select("image_id", "y", "x", *[F.coalesce(F.col(f"_p.{c}"), F.col(c)).alias(c) for c in RGB])
 
 
-def freeze_blocks(pixels: DataFrame, intensity: float, seed: int, side=(16, 48)) -> DataFrame:
+def freeze_blocks(pixels: DataFrame, intensity: float, seed: int, side=(16, 48), count=None) -> DataFrame:
     """Replace random rectangles by their mean colour, slightly tinted.
 
     Means are taken from the original image; where rectangles overlap, the
-    later one shows.
+    later one shows.  ``count`` overrides the number of rectangles per image.
     """
     dims = _dims(pixels)
-    rects = rectangles(dims, seed, 10, F.col("w") * F.col("h") / 2048.0 * intensity, side, side)
+    n = F.col("w") * F.col("h") / 2048.0 * intensity if count is None else F.lit(float(count))
+    rects = rectangles(dims, seed, 10, n, side, side)
     inside = in_rectangles(pixels, rects)
     mean = inside.groupBy("image_id", "item").agg(*[F.floor(F.avg(c)).cast("int").alias(c) for c in RGB])
     reach = int(20.0 * intensity)

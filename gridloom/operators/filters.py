@@ -75,7 +75,7 @@ DIRECTIONAL_KERNELS = (
 
 def directional_sharpen(plane: DataFrame, strength, value="v", tile=TILE) -> DataFrame:
     """Unsharp mask weighted by how horizontal or vertical the local edge is."""
-    df = ring(blurred(tiled(plane, 4, "reflect", tile), value, 1.0, "_b", 4), value)
+    df = ring(blurred(tiled(plane, 4, "reflect", tile), value, {"_b": 1.0}, 4), value)
     g = [F.abs(conv_expr(k)) for k in DIRECTIONAL_KERNELS]
     mask = clamp(((g[0] + g[1]) / (g[2] + g[3] + 1e-6) - 0.8) / 0.4, 0.0, 1.0)
     v = F.col(value)
@@ -273,7 +273,7 @@ def reference_guided_dering(plane: DataFrame, coarse: DataFrame, step: float, va
     dims = sized.groupBy(*KEYS).agg(F.first("h").alias("th"), F.first("w").alias("tw"))
     guide = resize(coarse.join(dims, IMAGE), F.col("th"), F.col("tw"))
     df = sized.join(guide.withColumnRenamed("v", "ref"), PIXEL, "left")
-    df = blurred(tiled(df, 4, "reflect", tile), value, 1.0, "_b", 4)
+    df = blurred(tiled(df, 4, "reflect", tile), value, {"_b": 1.0}, 4)
     df = cross(df, "ref")
     edge = F.greatest(F.abs(F.col("down") - F.col("up")), F.abs(F.col("right") - F.col("left")))
     edge = F.when(_interior(), edge).otherwise(0.0)
@@ -291,7 +291,7 @@ def structure_aware_sharpen(plane: DataFrame, classes: DataFrame, bs: int, stren
     ``classes`` has (image_id, ch, gy, gx, kind, angle) for blocks of size bs.
     """
     limits = classes.groupBy(*KEYS).agg(F.max("gy").alias("_my"), F.max("gx").alias("_mx"))
-    df = blurred(tiled(plane, 4, "reflect", tile), value, 1.0, "_b", 4)
+    df = blurred(tiled(plane, 4, "reflect", tile), value, {"_b": 1.0}, 4)
     df = _keep(ring(df, value), value, "_b", "h", "w", *[f"n{i}{j}" for i in range(3) for j in range(3)], tile=tile)
     df = df.join(limits, IMAGE)
     df = df.withColumns({

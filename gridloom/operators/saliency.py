@@ -22,7 +22,7 @@ def saliency_field(grid: DataFrame, sigma=SIGMA_A, ratio=SIGMA_RATIO, k_step=K_S
     wide = sigma * ratio
     reach, _ = gaussian_weights(wide)
     df = tiled(edges, reach + 1, "clamp", tile)
-    df = blurred(blurred(df, "e", sigma, "act"), "e", wide, "inh")
+    df = blurred(df, "e", {"act": sigma, "inh": wide})
     real = (F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("h")) & (F.col("x") < F.col("w"))
     df = with_sobel(df.withColumn("inh", F.when(real, F.col("inh"))), "inh")
     df = df.withColumn("dog", F.greatest(F.col("act") - F.col("inh"), F.lit(0.0)))

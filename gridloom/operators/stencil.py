@@ -77,12 +77,15 @@ def _taps(value, radius, weights, window):
     return out
 
 
-def blurred(df: DataFrame, value, sigma, name, radius=None) -> DataFrame:
-    """Separable Gaussian on an already tiled frame with ghost borders."""
-    radius, weights = gaussian_weights(sigma, radius)
-    return df.withColumn("_h", _taps(value, radius, weights, rows())).withColumn(
-        name, _taps("_h", radius, weights, columns())
-    ).drop("_h")
+def blurred(df: DataFrame, value, sigmas: dict, radius=None) -> DataFrame:
+    """Separable Gaussians (name -> sigma) on a tiled frame with ghost borders.
+
+    All row passes share one window, then all column passes share another.
+    """
+    kernels = {n: gaussian_weights(s, radius) for n, s in sigmas.items()}
+    df = df.withColumns({f"_h_{n}": _taps(value, r, w, rows()) for n, (r, w) in kernels.items()})
+    df = df.withColumns({n: _taps(f"_h_{n}", r, w, columns()) for n, (r, w) in kernels.items()})
+    return df.drop(*[f"_h_{n}" for n in kernels])
 
 
 def gaussian_blur(plane: DataFrame, sigma, value="v", border="clamp", radius=None, tile=TILE) -> DataFrame:
@@ -90,7 +93,7 @@ def gaussian_blur(plane: DataFrame, sigma, value="v", border="clamp", radius=Non
     if sigma < 0.01:
         return plane.select(*PIXEL, value, F.col(value).alias("blur"))
     reach, _ = gaussian_weights(sigma, radius)
-    df = blurred(tiled(plane, reach, border, tile), value, sigma, "blur", radius)
+    df = blurred(tiled(plane, reach, border, tile), value, {"blur": sigma}, radius)
     return _keep(df, value, "blur", tile=tile)
 
 
