@@ -1 +1,59 @@
-"""placeholder"""
+"""Streaming replays of the events table."""
+
+from pyspark.sql import functions as F
+
+from gridloom.catalog.base import add
+from gridloom.streaming import profiles as pr
+from gridloom.streaming.replay import run_available, stream_table
+
+C = F.col
+LANES = 8
+
+
+def _keyed(c):
+    """Events as integer symbols per user, spread over lanes."""
+    e = stream_table(c.spark, c.folder, "events")
+    return pr.with_lane(e.withColumns({"pos": C("event_id"), "sym": (F.floor("value") % 7 - 3).cast("long")}), "event_id", LANES)
+
+
+SYM = "SELECT user_id, event_id % 8 AS lane, event_id AS pos, floor(value)::BIGINT % 7 - 3 AS sym FROM events"
+
+
+def _profile_sql(q):
+    s = q.cte(f"SELECT *, row_number() OVER (PARTITION BY user_id, lane ORDER BY pos) AS rn FROM ({SYM})")
+    f = q.cte(
+        f"SELECT user_id, lane, 0::BIGINT AS n, 0::BIGINT AS energy, 0::BIGINT AS run, 14000::BIGINT AS p_zero, 12000::BIGINT AS p_pm1, 0.0::DOUBLE AS bits FROM {s} WHERE rn = 1 UNION ALL "
+        f"SELECT s.user_id, s.lane, s.rn, (218 * energy + 38 * least(abs(sym) * 32, 256)) // 256, CASE WHEN sym = 0 THEN run + 1 ELSE 0 END, "
+        f"CASE WHEN sym = 0 THEN p_zero + ((16384 - p_zero) >> 4) ELSE p_zero - (p_zero >> 4) END, CASE WHEN sym = 0 THEN p_pm1 WHEN abs(sym) = 1 THEN p_pm1 + ((16384 - p_pm1) >> 4) ELSE p_pm1 - (p_pm1 >> 4) END, "
+        f"bits - log2(least(greatest(CASE WHEN sym = 0 THEN p_zero ELSE 16384 - p_zero END, 1), 16383) / 16384.0::DOUBLE) FROM @self r JOIN {s} s ON s.user_id = r.user_id AND s.lane = r.lane AND s.rn = r.n + 1", "pfold", True)
+    return q.cte(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, lane ORDER BY n DESC) AS k FROM {f}) WHERE k = 1")
+
+
+add("stream_adaptive_profile", lambda c: run_available(pr.adaptive_profile(_keyed(c))), _profile_sql, "user_id lane n energy run p_zero p_pm1", "bits")
+add("stream_keyed_delta", lambda c: run_available(pr.keyed_delta(_keyed(c))),
+    lambda q: q.cte(f"SELECT user_id, lane, pos, sym - coalesce(lag(sym) OVER (PARTITION BY user_id, lane ORDER BY pos), 0) AS delta FROM ({SYM})"), "user_id lane pos delta")
+
+
+def _epoch(df):
+    return df.withColumns({"start": F.unix_timestamp("start"), "end": F.unix_timestamp("end")})
+
+
+MEAS = "count(*) AS n, sum(value * value) AS energy, avg(power(value - round(value), 2)) AS mse"
+LATE = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+add("stream_tumbling", lambda c: _epoch(run_available(pr.window_metrics(stream_table(c.spark, c.folder, "events"), ["event_type"], "1 hour"))),
+    lambda q: q.cte(
+        f"SELECT epoch(w) AS start, epoch(w) + 3600 AS \"end\", event_type, n, energy, mse FROM (SELECT date_trunc('hour', ts) AS w, event_type, {MEAS} FROM events GROUP BY ALL) WHERE w + INTERVAL 1 HOUR <= {LATE}"),
+    "start end n", "energy mse", "event_type")
+add("stream_sliding", lambda c: _epoch(run_available(pr.window_metrics(stream_table(c.spark, c.folder, "events"), ["event_type"], "2 hours", "1 hour"))),
+    lambda q: q.cte(
+        f"SELECT epoch(w) AS start, epoch(w) + 7200 AS \"end\", event_type, n, energy, mse FROM (SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS w, event_type, {MEAS} FROM events, unnest(range(2)) AS r(k) GROUP BY ALL) WHERE w + INTERVAL 2 HOUR <= {LATE}"),
+    "start end n", "energy mse", "event_type")
+
+
+def _session_sql(q):
+    a = q.cte("SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events")
+    b = q.cte(f"SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM {a}")
+    return q.cte(f"SELECT epoch_us(min(ts)) // 1000000 AS start, epoch_us(max(ts)) // 1000000 + 7200 AS \"end\", user_id, {MEAS} FROM {b} GROUP BY user_id, s HAVING max(ts) + INTERVAL 2 HOUR <= {LATE}")
+
+
+add("stream_sessions", lambda c: _epoch(run_available(pr.session_metrics(stream_table(c.spark, c.folder, "events"), ["user_id"], "2 hours"))), _session_sql, "start end user_id n", "energy mse")

@@ -11,9 +11,9 @@ from gridloom.constants import (
 )
 from gridloom.functions.numeric import angle_diff, clamp, round_half_away, snap_to_levels
 from gridloom.operators.orderstat import dense_position, order_statistic
-from gridloom.operators.stencil import dilate, local_maxima
+from gridloom.operators.stencil import box_extreme, local_maxima
 from gridloom.session import cut_lineage
-from gridloom.tiling import KEYS, with_extent
+from gridloom.tiling import KEYS, owned, tiled, with_extent
 
 IMAGE = list(KEYS)
 PIXEL = [*KEYS, "y", "x"]
@@ -45,12 +45,13 @@ def _touching(runs: DataFrame) -> DataFrame:
     return e.unionByName(e.select(*KEYS, F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def connected_components(mask: DataFrame, max_rounds=200) -> DataFrame:
+def connected_components(mask: DataFrame, max_rounds=60) -> DataFrame:
     """8-connected components of set pixels (image_id, ch, y, x); labels in raster order.
 
-    Nodes are pixel runs.  Each round takes the smallest label among neighbours
-    and then follows labels to labels, so long chains shrink geometrically.
-    Rounds are materialised in the checkpoint folder.
+    Nodes are pixel runs.  Each round hooks every node to its smallest
+    neighbour, follows the hooks, and contracts the graph to the surviving
+    nodes, so edges shrink geometrically and a few rounds suffice.  Rounds are
+    materialised in the checkpoint folder.
     """
     dims = mask.groupBy(*KEYS).agg((F.max("x") + 1).cast("long").alias("_w"))
     runs = mask_runs(mask).join(dims, IMAGE)
@@ -58,18 +59,22 @@ def connected_components(mask: DataFrame, max_rounds=200) -> DataFrame:
     edges = cut_lineage(_touching(runs))
     labels = runs.select(*KEYS, "id", F.col("id").alias("label"))
     for _ in range(max_rounds):
-        near = edges.join(labels.withColumnRenamed("id", "dst"), [*IMAGE, "dst"]).groupBy(*KEYS, F.col("src").alias("id")).agg(
-            F.min("label").alias("_m")
+        if edges.isEmpty():
+            break
+        hook = edges.groupBy(*KEYS, F.col("src").alias("label")).agg(F.min("dst").alias("_m"))
+        hook = hook.select(*KEYS, "label", F.least("label", "_m").alias("up"))
+        for _ in range(2):
+            higher = hook.select(*KEYS, F.col("label").alias("up"), F.col("up").alias("_top"))
+            hook = hook.join(higher, [*IMAGE, "up"]).select(*KEYS, "label", F.col("_top").alias("up"))
+        hook = cut_lineage(hook)
+        labels = cut_lineage(
+            labels.join(hook, [*IMAGE, "label"], "left").select(*KEYS, "id", F.coalesce("up", "label").alias("label"))
         )
-        step = labels.join(near, [*IMAGE, "id"], "left").select(
-            *KEYS, "id", F.col("label").alias("_old"), F.least("label", F.coalesce("_m", "label")).alias("label")
+        root = lambda end: hook.select(*KEYS, F.col("label").alias(end), F.col("up").alias(f"_{end}"))
+        edges = edges.join(root("src"), [*IMAGE, "src"]).join(root("dst"), [*IMAGE, "dst"])
+        edges = cut_lineage(
+            edges.where(F.col("_src") != F.col("_dst")).select(*KEYS, F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct()
         )
-        hop = step.select(*KEYS, F.col("id").alias("label"), F.col("label").alias("_far"))
-        step = step.join(hop, [*IMAGE, "label"]).select(*KEYS, "id", "_old", F.col("_far").alias("label"))
-        step = cut_lineage(step)
-        labels = step.select(*KEYS, "id", "label")
-        if step.where(F.col("label") != F.col("_old")).isEmpty():
-            break
     else:
         raise RuntimeError("components did not settle")
     order = dense_position(labels.select(*KEYS, "label").distinct(), KEYS, "label", "comp")
@@ -91,13 +96,12 @@ def clusters(bands: DataFrame, threshold=0.5) -> DataFrame:
     """
     df = with_extent(bands).withColumn("e", F.abs("lh") + F.abs("hl") + F.abs("hh"))
     df = df.withColumn("m", (F.col("e") > threshold).cast("int")).where((F.col("h").cast("long") * F.col("w")) >= 64)
-    grown = None
-    for passes, area in ((2, (0, 100_000)), (3, (100_000, 500_000)), (4, (500_000, None))):
-        size = F.col("h").cast("long") * F.col("w")
-        part = df.where((size > area[0]) & (size <= area[1] if area[1] else F.lit(True))).select(*PIXEL, "m")
-        part = dilate(part, passes).where("grown = 1").select(*PIXEL)
-        grown = part if grown is None else grown.unionByName(part)
-    comp = connected_components(grown)
+    df = cut_lineage(df.select(*PIXEL, "e", "m", "h", "w"))
+    grown = tiled(df.select(*PIXEL, "m", "h", "w"), 4)
+    for r in (2, 3, 4):
+        grown = box_extreme(grown, "m", r, F.max, f"_g{r}")
+    grown = cut_lineage(owned(grown).where(by_area(F.col("_g2"), F.col("_g3"), F.col("_g4")) == 1).select(*PIXEL))
+    comp = cut_lineage(connected_components(grown))
     pts = df.where("m = 1").select(*PIXEL, "e", "h", "w").join(comp, PIXEL)
     size = pts.groupBy(*KEYS, "comp").agg(F.count(F.lit(1)).alias("n_points"))
     pts = pts.join(size, [*IMAGE, "comp"]).where(F.col("n_points") >= by_area(13, 21, 34))
