@@ -45,6 +45,17 @@ def _touching(runs: DataFrame) -> DataFrame:
     return e.unionByName(e.select(*KEYS, F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def _follow(hook: DataFrame) -> DataFrame:
+    """Follow hooks to their ends; every step doubles the distance covered."""
+    hook = cut_lineage(hook)
+    while True:
+        higher = hook.select(*KEYS, F.col("label").alias("up"), F.col("up").alias("_top"))
+        far = cut_lineage(hook.join(higher, [*IMAGE, "up"]).select(*KEYS, "label", F.col("_top").alias("up"), (F.col("_top") != F.col("up")).alias("_moved")))
+        hook = far.select(*KEYS, "label", "up")
+        if far.where("_moved").isEmpty():
+            return hook
+
+
 def connected_components(mask: DataFrame, max_rounds=60) -> DataFrame:
     """8-connected components of set pixels (image_id, ch, y, x); labels in raster order.
 
@@ -63,10 +74,7 @@ def connected_components(mask: DataFrame, max_rounds=60) -> DataFrame:
             break
         hook = edges.groupBy(*KEYS, F.col("src").alias("label")).agg(F.min("dst").alias("_m"))
         hook = hook.select(*KEYS, "label", F.least("label", "_m").alias("up"))
-        for _ in range(2):
-            higher = hook.select(*KEYS, F.col("label").alias("up"), F.col("up").alias("_top"))
-            hook = hook.join(higher, [*IMAGE, "up"]).select(*KEYS, "label", F.col("_top").alias("up"))
-        hook = cut_lineage(hook)
+        hook = _follow(hook)
         labels = cut_lineage(
             labels.join(hook, [*IMAGE, "label"], "left").select(*KEYS, "id", F.coalesce("up", "label").alias("label"))
         )

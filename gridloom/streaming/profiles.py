@@ -77,6 +77,11 @@ def keyed_delta(stream: DataFrame) -> DataFrame:
     )
 
 
+def _timed(stream, delay):
+    """Event time as an instant (plain local timestamps cannot carry a watermark)."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
 def window_metrics(stream: DataFrame, keys, size: str, slide=None, delay="1 hour", value="value") -> DataFrame:
     """Count, energy and error to the rounded value per time window; late rows are dropped.
 
@@ -85,14 +90,14 @@ def window_metrics(stream: DataFrame, keys, size: str, slide=None, delay="1 hour
     v = F.col(value)
     err = v - F.round(v)
     win = F.window("ts", size, slide) if slide else F.window("ts", size)
-    g = stream.withWatermark("ts", delay).groupBy(win.alias("win"), *keys)
+    g = _timed(stream, delay).groupBy(win.alias("win"), *keys)
     return _measures(g, v, err, keys)
 
 
 def session_metrics(stream: DataFrame, keys, gap: str, delay="1 hour", value="value") -> DataFrame:
     """The same per session of activity."""
     v = F.col(value)
-    g = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("win"), *keys)
+    g = _timed(stream, delay).groupBy(F.session_window("ts", gap).alias("win"), *keys)
     return _measures(g, v, v - F.round(v), keys)
 
 
