@@ -368,7 +368,7 @@ def match_primitives(prims: DataFrame, contours: DataFrame, block_size=16) -> Da
     turn = angle_diff(F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")), F.col("b.near.orientation"))
     da = F.col("amp") - F.col("b.near.grad")
     close = (F.abs(dy) < MATCH_POS) & (F.abs(dx) < MATCH_POS) & (F.abs(turn) < MATCH_ANGLE) & (F.abs(da) < MATCH_AMP)
-    code = lambda v, lo, hi: clamp(round_half_away(v), float(lo), float(hi)).cast("int")
+    code = lambda v, lo, hi: F.when(F.col("b").isNotNull(), clamp(round_half_away(v), float(lo), float(hi)).cast("int"))
     return df.select(
         *KEYS, "prim_id", F.when(F.col("b").isNull(), "Surprise").when(close, "Predicted").otherwise("Residual").alias("match"),
         F.col("b.comp").alias("comp"), F.col("b.dist").alias("dist"), code(dy * 16.0, -32768, 32767).alias("delta_y"), code(dx * 16.0, -32768, 32767).alias("delta_x"),
