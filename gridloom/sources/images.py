@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from gridloom.kernels import image_rows
 
 # Fixed value: little-endian header after the 4-byte magic.
-HEADER = struct.Struct("<BBHHBf6f")
+HEADER = "<BBHHBf6f"
 MAGIC = b"AUR2"
 FIELDS = ("version", "quality", "width", "height", "levels", "step", "l_min", "l_max", "c1_min", "c1_max", "c2_min", "c2_max")
 HEADER_SCHEMA = T.StructType(
@@ -46,7 +46,7 @@ def _header(prefix: pd.Series) -> pd.DataFrame:
     rows = []
     for b in prefix:
         good = b is not None and len(b) >= 39 and bytes(b[:4]) == MAGIC
-        rows.append((True, *HEADER.unpack(bytes(b[4:39]))) if good else (False, *[None] * len(FIELDS)))
+        rows.append((True, *struct.unpack(HEADER, bytes(b[4:39]))) if good else (False, *[None] * len(FIELDS)))
     return pd.DataFrame(rows, columns=["ok", *FIELDS])
 
 
