@@ -42,7 +42,9 @@ def _slots(pos, size, bs, overlap):
 
     if not overlap:
         own = F.array(F.struct(F.floor(p / bs).cast("int").alias("g"), (p % bs).cast("int").alias("i")))
-        return F.when((n % bs) == 0, own).otherwise(F.flatten(F.transform(all_pos, blocks_of)))
+        # Only the last partial block mirrors, and it reads at most bs positions back.
+        plain = ((n % bs) == 0) | ((n > bs) & (p < 2 * (n - 1) - (F.ceil(n / bs) * bs - 1)))
+        return F.when(plain, own).otherwise(F.flatten(F.transform(all_pos, blocks_of)))
     return F.flatten(F.transform(all_pos, blocks_of))
 
 
