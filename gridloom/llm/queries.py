@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, with production parameters, and SQL where SQL can express them."""
 
-from gridloom.llm import compression
+from gridloom.llm import compression, toxicity
 from gridloom.llm.common import table
 
 
@@ -8,5 +8,9 @@ def op10_compression_quality(spark, folder):
     return compression.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op10_compression_quality,)}
+def op9_fuzzy_toxicity(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op9_fuzzy_toxicity, op10_compression_quality)}
 SQL = {}
