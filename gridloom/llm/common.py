@@ -1,9 +1,14 @@
 """Helpers shared by the operators of this subpackage."""
 
+import itertools
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.session import _checkpoint_dir_set
+
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -61,3 +66,32 @@ def fit_logistic(x, y, ridge=1.0, rounds=30):
 
 def logistic(x, w):
     return 1 / (1 + np.exp(-np.clip(np.asarray(x, float) @ w[:-1] + w[-1], -30, 30)))
+
+
+class Scratch:
+    """Tables written into the shared checkpoint folder to cut lineage.
+
+    Unlike a checkpoint such a table is compressed, is read by column and
+    carries no constraints of the plan that made it, which would grow from round
+    to round.  ``drop`` removes tables that nothing reads any more.
+    """
+
+    def __init__(self, spark):
+        _checkpoint_dir_set(spark)
+        self.spark, self.numbers = spark, itertools.count()
+        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+        self.paths = {}
+
+    def write(self, df) -> DataFrame:
+        path = f"{self.folder}/{next(self.numbers)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables):
+        for t in tables:
+            path, _ = self.paths.pop(id(t), (None, None))
+            if path:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

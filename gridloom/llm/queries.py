@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, with production parameters, and SQL where SQL can express them."""
 
-from gridloom.llm import compression, packing, toxicity
+from gridloom.llm import compression, dedup, packing, toxicity
 from gridloom.llm.common import table
 
 
@@ -8,6 +8,10 @@ def op10_compression_quality(spark, folder):
     return compression.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op1_bottom_k_dedup(spark, folder):
+    return dedup.near_duplicates(table(spark, folder, "documents"), size=2, percent=80)
+
+
 def op5_length_buckets(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
@@ -16,5 +20,5 @@ def op9_fuzzy_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op5_length_buckets, op9_fuzzy_toxicity, op10_compression_quality)}
+QUERIES = {f.__name__: f for f in (op1_bottom_k_dedup, op5_length_buckets, op9_fuzzy_toxicity, op10_compression_quality)}
 SQL = {}
