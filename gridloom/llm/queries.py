@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, with production parameters, and SQL where SQL can express them."""
 
-from gridloom.llm import archive, compression, dedup, packing, toxicity
+from gridloom.llm import archive, compression, dedup, packing, toxicity, weaksup
 from gridloom.llm.common import Scratch, table
 
 
@@ -16,6 +16,10 @@ def op5_length_buckets(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op6_weak_supervision(spark, folder):
+    return weaksup.quality(table(spark, folder, "documents"))
+
+
 def op8_repair_archive(spark, folder):
     path = f"{Scratch(spark).folder}/archive"
     archive.write_archive(table(spark, folder, "documents"), path)
@@ -26,5 +30,5 @@ def op9_fuzzy_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bottom_k_dedup, op5_length_buckets, op8_repair_archive, op9_fuzzy_toxicity, op10_compression_quality)}
+QUERIES = {f.__name__: f for f in (op1_bottom_k_dedup, op5_length_buckets, op6_weak_supervision, op8_repair_archive, op9_fuzzy_toxicity, op10_compression_quality)}
 SQL = {}
