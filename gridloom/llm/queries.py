@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, with production parameters, and SQL where SQL can express them."""
 
-from gridloom.llm import archive, compression, dedup, packing, toxicity, weaksup, wordpieces
+from gridloom.llm import archive, compression, dedup, packing, toxicity, weaksup, webp, wordpieces
 from gridloom.llm.common import Scratch, table
 
 
@@ -16,6 +16,10 @@ def op2_longest_match_tokens(spark, folder):
     return wordpieces.token_counts(table(spark, folder, "documents"))
 
 
+def op4_lossless_webp(spark, folder):
+    return webp.media_digest(webp.media(table(spark, folder, "documents")))
+
+
 def op5_length_buckets(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
@@ -34,5 +38,5 @@ def op9_fuzzy_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bottom_k_dedup, op2_longest_match_tokens, op5_length_buckets, op6_weak_supervision, op8_repair_archive, op9_fuzzy_toxicity, op10_compression_quality)}
+QUERIES = {f.__name__: f for f in (op1_bottom_k_dedup, op2_longest_match_tokens, op4_lossless_webp, op5_length_buckets, op6_weak_supervision, op8_repair_archive, op9_fuzzy_toxicity, op10_compression_quality)}
 SQL = {}
