@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, with production parameters, and SQL where SQL can express them."""
 
-from gridloom.llm import archive, compression, dedup, packing, toxicity, weaksup, webp, wordpieces
+from gridloom.llm import archive, compression, dedup, licences, packing, sampling, toxicity, weaksup, webp, wordpieces
 from gridloom.llm.common import Scratch, table
 
 
@@ -16,6 +16,10 @@ def op2_longest_match_tokens(spark, folder):
     return wordpieces.token_counts(table(spark, folder, "documents"))
 
 
+def op3_licence_scan(spark, folder):
+    return licences.scan(table(spark, folder, "documents"))
+
+
 def op4_lossless_webp(spark, folder):
     return webp.media_digest(webp.media(table(spark, folder, "documents")))
 
@@ -28,6 +32,10 @@ def op6_weak_supervision(spark, folder):
     return weaksup.quality(table(spark, folder, "documents"))
 
 
+def op7_gumbel_segmentations(spark, folder):
+    return sampling.sampled_segmentations(table(spark, folder, "conversations"), ["conv_id", "turn"])
+
+
 def op8_repair_archive(spark, folder):
     path = f"{Scratch(spark).folder}/archive"
     archive.write_archive(table(spark, folder, "documents"), path)
@@ -38,5 +46,5 @@ def op9_fuzzy_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bottom_k_dedup, op2_longest_match_tokens, op4_lossless_webp, op5_length_buckets, op6_weak_supervision, op8_repair_archive, op9_fuzzy_toxicity, op10_compression_quality)}
+QUERIES = {f.__name__: f for f in (op1_bottom_k_dedup, op2_longest_match_tokens, op3_licence_scan, op4_lossless_webp, op5_length_buckets, op6_weak_supervision, op7_gumbel_segmentations, op8_repair_archive, op9_fuzzy_toxicity, op10_compression_quality)}
 SQL = {}
