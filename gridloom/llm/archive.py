@@ -105,7 +105,10 @@ def repair(ids, base, least=8, gain=0.02, rounds=16):
         rank = np.full(len(code) + 2, len(pairs))
         rank[where + 1] = rank_of[at]
         mine = rank[where + 1]
-        chosen = (mine < len(pairs)) & (mine < rank[where]) & (mine <= rank[where + 2])
+        # in a run of one repeated id its pair overlaps itself: every second place counts
+        here = np.arange(len(rank))
+        even = (here - np.maximum.accumulate(np.where(np.diff(rank, prepend=-1) != 0, here, 0)) & 1) == 0
+        chosen = (mine < len(pairs)) & (mine <= rank[where]) & even[where + 1] & (mine <= rank[where + 2])
         uses = np.bincount(at[chosen], minlength=len(pairs))
         chosen &= uses[at] >= 2
         if chosen.sum() < gain * len(seq):
