@@ -265,7 +265,7 @@ def _codecs_sql(q):
 
 add("compare_codecs", lambda c: ql.compare_codecs(simple_points(c), "weighted", "flat"), _codecs_sql, "image_id q", "size_pct psnr_delta", "size_mark psnr_mark")
 add("bd_rate", lambda c: ql.bd_rate(simple_points(c), "weighted", "flat"), None, "image_id", "bd_rate")
-add("bd_summary", lambda c: ql.bd_summary(ql.bd_rate(simple_points(c), "weighted", "flat")), None, "wins n", "avg_bd_rate")
+add("bd_summary", lambda c: ql.bd_summary(ql.bd_rate(simple_points(c), "weighted", "flat")), None, "wins n n_undefined", "avg_bd_rate")
 add("operating_point", lambda c: ql.operating_point(simple_points(c), 50.0),
     lambda q: q.cte(
         f"SELECT image_id, codec, q, bpp, psnr, j FROM (SELECT *, row_number() OVER (PARTITION BY image_id, codec ORDER BY j, q) AS rn FROM (SELECT *, 65025.0 / power(10.0, psnr / 10.0) + 50.0 * bpp AS j FROM {simple_points_sql(q)})) WHERE rn = 1"),

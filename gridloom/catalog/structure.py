@@ -155,7 +155,7 @@ add("render_primitives", lambda c: gs.render_primitives(_line_prims(c)), _render
 add("subtract_rendered", lambda c: gs.subtract(_bands(c), gs.render_primitives(_line_prims(c))),
     lambda q: q.cte(f"SELECT b.image_id, b.ch, b.y, b.x, b.lh - coalesce(r.lh, 0.0) AS lh, b.hl - coalesce(r.hl, 0.0) AS hl, b.hh - coalesce(r.hh, 0.0) AS hh FROM {_bands_sql(q)} b LEFT JOIN {_render_sql(q)} r USING (image_id, ch, y, x)"), PX, "lh hl hh")
 add("extract_iteratively", lambda c: gs.extract_iteratively(_bands(c), 2)[0], None, "image_id ch prim_id pass x1 y1 x2 y2 amp phase", "profit", "kind")
-add("extract_residual", lambda c: gs.extract_iteratively(_bands(c), 2)[1], None, PX, "lh hl hh")
+add("extract_residual", lambda c: gs.extract_iteratively(_bands(c), 2)[1], None, PX, "lh hl hh", bools="settled")
 
 # ---- ridges and matching ---------------------------------------------------
 

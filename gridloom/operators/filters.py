@@ -90,19 +90,12 @@ def _interior():
     )
 
 
-def contrast_adaptive_unsharp(plane: DataFrame, strength, value="v", tile=TILE) -> DataFrame:
-    """Unsharp mask, blur by image size, held back near strong edges."""
-    df = tiled(plane, 6, "clamp", tile)
-    big = F.greatest("h", "w")
-    taps = []
-    for k in range(-6, 7):
-        w = [math.exp(-k * k / (2 * s * s)) if abs(k) <= math.ceil(3 * s) else 0.0 for s in (2.0, 1.5, 1.0)]
-        taps.append(w)
-    norm = [sum(t[i] for t in taps) for i in range(3)]
-    weights = [
-        F.when(big > 2000, t[0] / norm[0]).when(big > 1000, t[1] / norm[1]).otherwise(t[2] / norm[2]) for t in taps
-    ]
-    blur = lambda c, w: sum((at(c, k, w) * weights[k + 6] for k in range(-5, 7)), at(c, -6, w) * weights[0])
+def contrast_adaptive_unsharp(plane: DataFrame, strength, value="v", tile=TILE, sigma=1.0) -> DataFrame:
+    """Unsharp mask with a Gaussian blur, held back near strong edges; one blur for images of any size."""
+    reach = math.ceil(3 * sigma)
+    df = tiled(plane, reach, "clamp", tile)
+    taps = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
+    blur = lambda c, w: sum(at(c, k - reach, w) * (t / sum(taps)) for k, t in enumerate(taps))
     df = df.withColumn("_h", blur(value, rows())).withColumn("_b", blur("_h", columns()))
     df = ring(df, value)
     gx, gy = _sobel_terms()

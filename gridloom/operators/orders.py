@@ -23,9 +23,9 @@ def zigzag_table(spark, sizes=(8, 16, 32)) -> DataFrame:
 
 
 def _spread(v):
-    """Insert a zero bit between the 16 low bits of an integer."""
+    """Insert a zero bit between the 31 low bits of an integer."""
     v = v.cast("long")
-    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
         v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
     return v
 

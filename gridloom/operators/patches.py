@@ -56,12 +56,12 @@ def _fit_tiles(px: DataFrame) -> DataFrame:
 
 
 def fit_patches(plane: DataFrame, step: float, base=16, value="v") -> DataFrame:
-    """One patch per tile; tiles with RMSE above step/2 are replaced by four quarters."""
+    """One patch per tile, edge strips included; tiles with RMSE above step/2 are replaced by four quarters."""
     df = with_extent(plane)
     origin = lambda c: (F.floor(F.col(c) / base) * base).cast("int")
     df = df.select(*KEYS, "y", "x", F.col(value).alias("v"), "h", "w", origin("x").alias("x0"), origin("y").alias("y0"))
     df = df.withColumns({"pw": F.least(F.lit(base), F.col("w") - F.col("x0")), "ph": F.least(F.lit(base), F.col("h") - F.col("y0"))})
-    df = df.where("pw >= 2 and ph >= 2").withColumns({"px": F.col("x") - F.col("x0"), "py": F.col("y") - F.col("y0")})
+    df = df.withColumns({"px": F.col("x") - F.col("x0"), "py": F.col("y") - F.col("y0")})
     whole = _fit_tiles(df)
     split = (F.col("rmse") > step * 0.5) & (F.col("pw") >= 8) & (F.col("ph") >= 8)
     parts = df.join(whole.where(split).select(*PATCH), PATCH, "left_semi")

@@ -122,9 +122,16 @@ def bd_rate(points: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def bd_summary(rates: DataFrame) -> DataFrame:
-    """Average over images and number of images won."""
-    ok = rates.where(~F.isnan("bd_rate"))
-    return ok.agg(F.avg("bd_rate").alias("avg_bd_rate"), F.count_if(F.col("bd_rate") < 0).alias("wins"), F.count(F.lit(1)).alias("n"))
+    """Average over images with a rate, images won, images with a rate and images without one.
+
+    A rate is undefined under four points, without a common quality interval, or
+    where a curve has a zero rate.
+    """
+    there = ~F.isnan("bd_rate")
+    return rates.agg(
+        F.avg(F.when(there, F.col("bd_rate"))).alias("avg_bd_rate"), F.count_if(there & (F.col("bd_rate") < 0)).alias("wins"),
+        F.count_if(there).alias("n"), F.count_if(~there).alias("n_undefined"),
+    )
 
 
 def operating_point(points: DataFrame, lam: float) -> DataFrame:

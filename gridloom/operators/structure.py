@@ -90,29 +90,22 @@ def connected_components(mask: DataFrame, max_rounds=60) -> DataFrame:
     return named.select(*KEYS, "y", F.explode(F.sequence("x0", "x1")).alias("x"), "comp")
 
 
-def by_area(small, medium, large):
-    """Parameter that depends on the image area."""
-    area = F.col("h").cast("long") * F.col("w")
-    return F.when(area > 500_000, large).when(area > 100_000, medium).otherwise(small)
+def clusters(bands: DataFrame, threshold=0.5, radius=2, least_points=13) -> DataFrame:
+    """Points of each cluster of energetic cells.
 
-
-def clusters(bands: DataFrame, threshold=0.5) -> DataFrame:
-    """Points of each cluster of energetic cells; small clusters are dropped.
-
-    ``bands`` is a dense grid (image_id, ch, y, x, lh, hl, hh).  The dilation
-    radius and the size floor grow with the image area.
+    ``bands`` is a dense grid (image_id, ch, y, x, lh, hl, hh).  Cells within
+    ``radius`` of each other join one cluster; clusters of fewer than
+    ``least_points`` cells are no clusters.  Both hold for images of any size.
     """
     df = with_extent(bands).withColumn("e", F.abs("lh") + F.abs("hl") + F.abs("hh"))
-    df = df.withColumn("m", (F.col("e") > threshold).cast("int")).where((F.col("h").cast("long") * F.col("w")) >= 64)
+    df = df.withColumn("m", (F.col("e") > threshold).cast("int"))
     df = cut_lineage(df.select(*PIXEL, "e", "m", "h", "w"))
-    grown = tiled(df.select(*PIXEL, "m", "h", "w"), 4)
-    for r in (2, 3, 4):
-        grown = box_extreme(grown, "m", r, F.max, f"_g{r}")
-    grown = cut_lineage(owned(grown).where(by_area(F.col("_g2"), F.col("_g3"), F.col("_g4")) == 1).select(*PIXEL))
+    grown = box_extreme(tiled(df.select(*PIXEL, "m", "h", "w"), radius), "m", radius, F.max, "_g")
+    grown = cut_lineage(owned(grown).where("_g = 1").select(*PIXEL))
     comp = cut_lineage(connected_components(grown))
     pts = df.where("m = 1").select(*PIXEL, "e", "h", "w").join(comp, PIXEL)
     size = pts.groupBy(*KEYS, "comp").agg(F.count(F.lit(1)).alias("n_points"))
-    pts = pts.join(size, [*IMAGE, "comp"]).where(F.col("n_points") >= by_area(13, 21, 34))
+    pts = pts.join(size, [*IMAGE, "comp"]).where(F.col("n_points") >= least_points)
     order = F.col("y") * F.col("w").cast("long") + F.col("x")
     pts = dense_position(pts.withColumn("_o", order), [*KEYS, "comp"], "_o", "i")
     return pts.select(*PIXEL, "comp", "e", "i", "n_points")
@@ -254,7 +247,7 @@ def render_primitives(prims: DataFrame) -> DataFrame:
         "_ts": F.col("ts") * (math.pi / 128.0), "_te": F.col("te") * (math.pi / 128.0),
     })
     length = F.abs(F.col("_te") - F.col("_ts")) * F.col("radius")
-    arc = arc.withColumn("_n", clamp(F.ceil(length * 2.0), 8, 2000).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    arc = arc.withColumn("_n", F.greatest(F.ceil(length * 2.0), F.lit(8)).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     t = F.col("_ts") + (F.col("_te") - F.col("_ts")) * (i / F.col("_n"))
     arc = arc.select(
         *KEYS, round_half_away(F.col("cy") + F.col("radius") * F.sin(t)).cast("int").alias("y"),
@@ -282,7 +275,8 @@ def extract_iteratively(bands: DataFrame, max_passes=2):
     """Fit, render and subtract until over half the energy is explained.
 
     Returns (primitives with their pass, residual bands).  An image that has
-    settled keeps its residual and leaves later passes.
+    settled keeps its residual and leaves later passes; ``settled`` is false in
+    the residual of images that ran out of passes.
     """
     active = cut_lineage(bands.select(*PIXEL, "lh", "hl", "hh"))
     start = _energy(active, "e0")
@@ -290,7 +284,7 @@ def extract_iteratively(bands: DataFrame, max_passes=2):
     for n in range(max_passes):
         if active.isEmpty():
             break
-        prims = cut_lineage(fit_primitives(clusters(active)).withColumn("pass", F.lit(n)))
+        prims = cut_lineage(fit_primitives(cut_lineage(clusters(active))).withColumn("pass", F.lit(n)))
         found = prims if found is None else found.unionByName(prims)
         rest = cut_lineage(subtract(active, render_primitives(prims)))
         hit = prims.select(*KEYS).distinct()
@@ -299,7 +293,8 @@ def extract_iteratively(bands: DataFrame, max_passes=2):
         stop = rest.join(go_on, IMAGE, "left_anti")
         done = stop if done is None else done.unionByName(stop)
         active = cut_lineage(rest.join(go_on, IMAGE, "left_semi"))
-    return found, (active if done is None else done.unionByName(active))
+    active = active.withColumn("settled", F.lit(False))
+    return found, (active if done is None else done.withColumn("settled", F.lit(True)).unionByName(active))
 
 
 def ridge_components(field: DataFrame, threshold=RIDGE_THRESHOLD, min_cells=3) -> DataFrame:

@@ -1,6 +1,7 @@
 """Session defaults and lineage cutting."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,10 +35,15 @@ def _checkpoint_dir_set(spark):
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an iteration's result in the shared checkpoint folder.
+    """Materialise a result as a table in the shared checkpoint folder.
 
-    Reliable checkpoints survive executor loss; the folder is the one the
-    cluster names in ``spark.checkpoint.dir``.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; what is
+    in it survives executor loss.  Unlike a checkpoint the table is read by
+    column and carries no constraints of the plan that made it, which would grow
+    from round to round of an iteration.  Whoever runs a job clears the folder.
     """
-    _checkpoint_dir_set(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    _checkpoint_dir_set(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
