@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridloom.catalog.base import Sql, add
+from gridloom.kernels import byte_counts
 from gridloom.operators import sequences as sq
 
 C = F.col
@@ -124,11 +125,10 @@ add("symbol_entropy", lambda c: sq.entropy(c.symbols(), ["stream_id"], "sym"), l
 
 
 def _doc_bytes(c):
-    """Byte histogram per document; counted as hexadecimal pairs of the UTF-8 text."""
-    d = c.table("documents").select("doc_id", F.hex(F.encode("text", "UTF-8")).alias("x"))
-    pairs = F.expr("filter(split(x, '(?<=\\\\G..)'), p -> p <> '')")
-    return d.select("doc_id", F.explode(pairs).alias("byte"))
+    """(doc_id, byte, n): UTF-8 byte counts per document, at most 256 rows each."""
+    counts = c.table("documents").select("doc_id", F.posexplode(byte_counts(F.encode("text", "UTF-8"))).alias("byte", "n"))
+    return counts.where("n > 0")
 
 
-add("document_entropy", lambda c: sq.entropy(_doc_bytes(c), ["doc_id"], "byte"),
+add("document_entropy", lambda c: sq.entropy_of_counts(_doc_bytes(c), ["doc_id"], "n"),
     lambda q: _entropy_sql(q, q.cte("SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents"), "doc_id", "byte"), "doc_id n n_symbols", "entropy")

@@ -11,7 +11,6 @@ from gridloom.operators import patches as pt
 from gridloom.operators import stats as sx
 from gridloom.operators import structure as gs
 from gridloom.operators.saliency import saliency_field
-from gridloom.operators.sequences import entropy  # noqa: F401
 from gridloom.session import cut_lineage
 
 C = F.col

@@ -87,3 +87,11 @@ SHAPE_TUNING = {
 # 31-bit multiplicative generator.
 LCG_MUL = 48271
 LCG_MOD = 2147483647
+
+# The four directional gradient kernels.
+DIRECTIONAL_KERNELS = (
+    ((-0.125, -0.25, -0.125), (0, 0, 0), (0.125, 0.25, 0.125)),
+    ((-0.125, 0, 0.125), (-0.25, 0, 0.25), (-0.125, 0, 0.125)),
+    ((0, -0.125, -0.25), (0.125, 0, -0.125), (0.25, 0.125, 0)),
+    ((-0.25, -0.125, 0), (-0.125, 0, 0.125), (0, 0.125, 0.25)),
+)

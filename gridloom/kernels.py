@@ -120,3 +120,9 @@ def image_rows(data: pd.Series, height: pd.Series, width: pd.Series, channels: p
         rgb = _u8_pixels(d, h, w, c).astype(np.int32)
         out.append(list((rgb[:, :, 0] << 16) | (rgb[:, :, 1] << 8) | rgb[:, :, 2]))
     return pd.Series(out)
+
+
+@F.pandas_udf("array<long>")
+def byte_counts(texts: pd.Series) -> pd.Series:
+    """How often each of the 256 byte values stands in a binary value."""
+    return pd.Series([np.bincount(np.frombuffer(t or b"", dtype=np.uint8), minlength=256) for t in texts])

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.constants import PHI_INV, PHI_INV2
+from gridloom.constants import DIRECTIONAL_KERNELS, PHI_INV, PHI_INV2
 from gridloom.functions.color import saturation_raw
 from gridloom.functions.numeric import clamp, round_half_away
 from gridloom.operators.orderstat import order_statistic
@@ -63,16 +63,6 @@ def edge_preserving_denoise(plane: DataFrame, tolerance=0.1, value="v", tile=TIL
     return df.select(*PIXEL, out.alias("out"))
 
 
-# The four directional gradient kernels, divided by 8.
-_E, _Q = 0.125, 0.25
-DIRECTIONAL_KERNELS = (
-    ((-_E, -_Q, -_E), (0, 0, 0), (_E, _Q, _E)),
-    ((-_E, 0, _E), (-_Q, 0, _Q), (-_E, 0, _E)),
-    ((0, -_E, -_Q), (_E, 0, -_E), (_Q, _E, 0)),
-    ((-_Q, -_E, 0), (-_E, 0, _E), (0, _E, _Q)),
-)
-
-
 def directional_sharpen(plane: DataFrame, strength, value="v", tile=TILE) -> DataFrame:
     """Unsharp mask weighted by how horizontal or vertical the local edge is."""
     df = ring(blurred(tiled(plane, 4, "reflect", tile), value, {"_b": 1.0}, 4), value)

@@ -71,7 +71,6 @@ def undelta(df: DataFrame, value="delta", name="restored", keys=("stream_id",),
 
 def run_levels(df: DataFrame, keys=("stream_id",), chunk=CHUNK) -> DataFrame:
     """(run of zeros, level) pairs; trailing zeros are implied by the length."""
-    nz = df.where(F.col("sym") != 0)
     marked = running_last(df, F.when(F.col("sym") != 0, F.col("pos")), "_last", keys, chunk=chunk)
     return marked.where(F.col("sym") != 0).select(
         *keys, "pos", (F.col("pos") - F.coalesce(F.col("_last"), F.lit(-1)) - 1).alias("run"),

@@ -53,9 +53,10 @@ def rgb_from_arrays(df: DataFrame, ident, array, tiles_wide=5, tiles_high=4, sid
     """RGB pixels from arrays: the channels mix each element with shifted ones."""
     tiles = tiles_wide * tiles_high
     n = side * side
-    at = lambda k: F.element_at(F.col(array), (F.col("i") + k) % n + 1)
-    px = df.select(F.col(ident).alias("_id"), F.col(array), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    px = px.select("_id", "i", *[_byte(at(k)).alias(f"v{k}") for k in (0, 21, 42)])
+    at = lambda i, k: F.element_at(F.col(array), (i + k) % n + 1).alias(f"v{k}")
+    mixed = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(at(i, 0), at(i, 21), at(i, 42)))
+    px = df.select(F.col(ident).alias("_id"), F.posexplode(mixed).alias("i", "e"))
+    px = px.select("_id", "i", *[_byte(F.col(f"e.v{k}")).alias(f"v{k}") for k in (0, 21, 42)])
     image, y, x = _tile_position(F.col("_id"), F.col("i"), tiles_wide, tiles, side)
     a, b, c = F.col("v0"), F.col("v21"), F.col("v42")
     return px.select(
