@@ -129,3 +129,25 @@ def scan(docs: DataFrame, templates=None) -> DataFrame:
     return found.groupBy("doc_id", "licence").agg(
         F.max("containment").alias("containment"), F.min("from").cast("long").alias("first_word"), F.countDistinct("from").alias("n_windows"),
     )
+
+
+def scan_sql(templates=None):
+    """SQL for ``scan`` over ``documents``: every window's containment, without anchors and bands."""
+    templates = TEMPLATES if templates is None else templates
+    rows = ", ".join(
+        f"('{name}', {width}, {stride}, '{' '.join(template_words(templates[name]))}')"
+        for width, stride, _, names in classes(templates).values() for name in names
+    )
+    cut = "unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))))"
+    placed = "unnest(list_transform(range(1, len(w) - 3), lambda i: {'place': i - 1, 's': array_to_string(w[i:i + 4], ' ')}))"
+    return (
+        f"WITH known AS (SELECT * FROM (VALUES {rows}) v(licence, width, stride, t)), "
+        f"pieces AS (SELECT licence, width, stride, {cut} AS s FROM (SELECT *, string_split(t, ' ') AS w FROM known)), "
+        "sizes AS (SELECT licence, count(*) AS n FROM pieces GROUP BY licence), "
+        "split AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), "
+        f"placed AS (SELECT doc_id, x.place AS place, x.s AS s FROM (SELECT doc_id, {placed} AS x FROM split WHERE len(w) >= 5)), "
+        "hit AS (SELECT doc_id, licence, stride, s, unnest(range(greatest(0, (place - width + stride) // stride), place // stride + 1)) AS k FROM placed JOIN pieces USING (s)), "
+        "found AS (SELECT doc_id, licence, k * stride AS begin_at, count(DISTINCT s)::DOUBLE / any_value(n) AS containment FROM hit JOIN sizes USING (licence) GROUP BY doc_id, licence, k, stride) "
+        "SELECT doc_id, licence, max(containment) AS containment, min(begin_at)::BIGINT AS first_word, count(*)::BIGINT AS n_windows "
+        f"FROM found WHERE containment >= {CONTAINED} GROUP BY doc_id, licence"
+    )
