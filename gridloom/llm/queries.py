@@ -47,4 +47,4 @@ def op9_fuzzy_toxicity(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (op1_bottom_k_dedup, op2_longest_match_tokens, op3_licence_scan, op4_lossless_webp, op5_length_buckets, op6_weak_supervision, op7_gumbel_segmentations, op8_repair_archive, op9_fuzzy_toxicity, op10_compression_quality)}
-SQL = {"op3_licence_scan": licences.scan_sql()}
+SQL = {"op1_bottom_k_dedup": dedup.near_duplicates_sql(2, 80), "op3_licence_scan": licences.scan_sql()}
