@@ -122,7 +122,7 @@ def image_rows(data: pd.Series, height: pd.Series, width: pd.Series, channels: p
     return pd.Series(out)
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def byte_counts(texts: pd.Series) -> pd.Series:
     """How often each of the 256 byte values stands in a binary value."""
     return pd.Series([np.bincount(np.frombuffer(t or b"", dtype=np.uint8), minlength=256) for t in texts])
