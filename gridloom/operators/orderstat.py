@@ -9,14 +9,18 @@ final, narrow bucket is ordered.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import cut_lineage
 
-def order_statistic(df: DataFrame, keys, value, ps: dict, buckets=1024, levels=2) -> DataFrame:
+
+def order_statistic(df: DataFrame, keys, value, ps: dict, buckets=1024, most=4096) -> DataFrame:
     """``sorted[min(floor(n*p), n-1)]`` per group, one column per entry of ``ps``.
 
-    ``ps`` maps an output name to p.  Group size is returned as ``n``.
+    ``ps`` maps an output name to p.  Group size is returned as ``n``.  The value
+    counts are written once; histograms follow each other until no wanted bucket
+    holds more than ``most`` distinct values, which are then ordered.
     """
     keys = list(keys)
-    counts = (
+    counts = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     )
@@ -36,19 +40,22 @@ def order_statistic(df: DataFrame, keys, value, ps: dict, buckets=1024, levels=2
     ).cast("int")
     running = Window.partitionBy(*keys, "_k").orderBy("_b")
     pool = counts.join(picks, keys).withColumn("_b", inside)
-    for _ in range(levels):
+    while True:
         hist = pool.groupBy(*keys, "_k", "_b").agg(
             F.sum("_c").alias("_c"), F.min("_v").alias("_lo2"), F.max("_v").alias("_hi2"),
-            F.first("_skip").alias("_skip"), F.first("n").alias("n"),
+            F.first("_skip").alias("_skip"), F.first("n").alias("n"), F.count(F.lit(1)).alias("_m"),
         )
         hist = hist.withColumn("_before", F.sum("_c").over(running) - F.col("_c"))
-        chosen = hist.where(
+        chosen = cut_lineage(hist.where(
             (F.col("_before") <= F.col("_skip")) & (F.col("_skip") < F.col("_before") + F.col("_c"))
         ).select(
             *keys, "_k", F.col("_lo2").alias("_lo"), F.col("_hi2").alias("_hi"), "n",
-            (F.col("_skip") - F.col("_before")).alias("_skip"),
-        )
-        pool = counts.join(chosen, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+            (F.col("_skip") - F.col("_before")).alias("_skip"), "_m",
+        ))
+        # a bucket's ends are its own smallest and largest values, so the next level always splits it
+        pool = counts.join(chosen.drop("_m"), keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        if (chosen.agg(F.max("_m")).first()[0] or 0) <= most:
+            break
         pool = pool.withColumn("_b", inside)
     in_order = Window.partitionBy(*keys, "_k").orderBy("_v")
     pool = pool.withColumn("_upto", F.sum("_c").over(in_order))

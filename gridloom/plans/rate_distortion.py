@@ -68,7 +68,7 @@ def rd_points(plane: DataFrame, qualities=QUALITIES, bs=8) -> DataFrame:
     Rates are order-0 entropies of the AC levels plus those of the predicted DC
     levels.  Exact for images whose sides are multiples of ``bs``.
     """
-    spectra = block_analyze(plane, bs)
+    spectra = cut_lineage(block_analyze(plane, bs))
     # The grid has one row per block and feeds many branches: compute it once.
     grid = cut_lineage(mean_grid(spectra))
     steps = steps_per_quality(plane, grid, qualities)

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.session import cut_lineage
+
 
 def grid_from_events(df: DataFrame, image, y, x, value, width=None) -> DataFrame:
     """Sparse facts to a dense grid per image; missing cells are 0.
@@ -11,7 +13,7 @@ def grid_from_events(df: DataFrame, image, y, x, value, width=None) -> DataFrame
     extent, so the fill is spread over tasks and needs no cross join.
     """
     facts = df.select(image.cast("long").alias("image_id"), y.cast("int").alias("y"), x.cast("int").alias("x"), value.alias("v"))
-    sums = facts.groupBy("image_id", "y", "x").agg(F.sum("v").alias("v"))
+    sums = cut_lineage(facts.groupBy("image_id", "y", "x").agg(F.sum("v").alias("v")))  # read four times below
     # The grid is common to all images: its size is two numbers.
     size = sums.agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     if width is not None:

@@ -242,3 +242,29 @@ def test_stream_equals_batch_fold():
     syms = [v % 7 - 3 for v in _lcg(200, 11)]
     start = (0, 0, 0, 14000, 12000, 0.0)
     assert advance(advance(start, syms[:77]), syms[77:]) == advance(start, syms)
+
+
+def test_order_statistics_on_nested_scales(spark):
+    from gridloom.operators.orderstat import order_statistic
+
+    values = sorted([1e-12 * k for k in range(60)] + [1e-6 * k for k in range(60)] + [float(k) for k in range(40)] + [1e9] * 3)
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, 5.0)] * 4 + [(3, None)], "g int, v double")
+    got = {r.g: r for r in order_statistic(df, ["g"], "v", {"low": 0.1, "mid": 0.5, "top": 1.0}, buckets=16, most=2).collect()}
+    assert [got[1][k] for k in ("low", "mid", "top")] == [values[min(int(len(values) * p), len(values) - 1)] for p in (0.1, 0.5, 1.0)]
+    assert got[1].n == len(values) and (got[2].low, got[2].top, got[2].n) == (5.0, 5.0, 4) and 3 not in got
+
+
+def test_z_order_of_sides_over_sixteen_bits(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.operators.orders import morton_code
+
+    cells = [(0, 70000), (70000, 0), (1, 1 << 30), (65536, 65536), (3, 5)]
+    got = [r.z for r in spark.createDataFrame(cells, "y int, x int").select(morton_code(F.col("y"), F.col("x")).alias("z")).collect()]
+    assert got == [sum((x >> k & 1) << 2 * k | (y >> k & 1) << 2 * k + 1 for k in range(31)) for y, x in cells]
+
+
+def test_edge_strips_one_pixel_wide_get_patches(spark, plane_of, array_of):
+    img = np.add.outer(np.arange(17.0), 2 * np.arange(33.0))
+    out = pt.fit_patches(plane_of(img), 1.0)
+    np.testing.assert_allclose(array_of(pt.render_patches(out), "v"), img, atol=1e-8)
