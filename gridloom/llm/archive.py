@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from gridloom.llm.common import remembered
+
 BLOCK_TOKENS = 1 << 20
 SHARD_BYTES = 24 << 20
 PIECES = 400_000  # pre-tokens remembered by a task; beyond, the memory starts anew
@@ -69,7 +71,7 @@ class Pieces(dict):
 
     def encode(self, text):
         text = text or ""
-        if not _PLAIN.fullmatch(text):
+        if not (text.isascii() and text.isprintable() or _PLAIN.fullmatch(text)):
             return self.tokenizer.encode(text.encode("utf-8", "replace").decode("utf-8"), add_special_tokens=False).ids
         if len(self) > PIECES:
             self.clear()
@@ -184,7 +186,7 @@ def write_archive(docs: DataFrame, path, tokenizer=None, block_tokens=BLOCK_TOKE
 
     def blocks(batches):
         shard = TaskContext.get().partitionId()
-        pieces = Pieces(tokenizer)
+        pieces = remembered("pieces", tokenizer, lambda: Pieces(tokenizer))
         base = pieces.tokenizer.get_vocab_size()
         number, ids, docs_in, counts, size = 0, [], [], [], 0
         for b in batches:

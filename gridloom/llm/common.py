@@ -1,6 +1,8 @@
 """Helpers shared by the operators of this subpackage."""
 
 import itertools
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -44,6 +46,17 @@ def training_ids(labels, label, parts, part, bound, per_class=False) -> DataFram
     return one.where("label = 1").orderBy("order", "doc_id").limit(bound).unionByName(one.where("label = 0").orderBy("order", "doc_id").limit(bound))
 
 
+def remembered(name, key, make):
+    """An object that a Python worker keeps for the tasks to come: the last one of its name, if made for the same key.
+
+    Code travels to workers by value, so its own globals begin anew with each task.
+    """
+    kept = sys.modules.setdefault("gridloom_worker_memory", types.ModuleType("gridloom_worker_memory")).__dict__
+    if name not in kept or kept[name][0] != key:
+        kept[name] = key, make()
+    return kept[name][1]
+
+
 def fit_logistic(x, y, ridge=1.0, rounds=30):
     """Weights of a logistic regression (last one: intercept) by Newton steps on standardised columns."""
     x, y = np.asarray(x, float), np.asarray(y, float)

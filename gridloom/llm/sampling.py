@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import remembered
+
 MARK = "▁"
 ZIPF_SHIFT = 10.0
 WORDS = 20_000  # word lattices remembered by a task; beyond, the memory starts anew
@@ -165,14 +167,9 @@ class Segmenter:
         return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
-_BUILT = {}
-
-
 def _segmenter(path):
-    """A task process's segmenter, built once for a model file."""
-    if path not in _BUILT:
-        _BUILT[path] = Segmenter(path)
-    return _BUILT[path]
+    """A worker's segmenter for a model file."""
+    return remembered("segmenter", path, lambda: Segmenter(path))
 
 
 def sampled_segmentations(rows: DataFrame, keys, k=3, path=None, seed=0) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fit_logistic, held_out, logistic, training_ids
+from gridloom.llm.common import fit_logistic, held_out, logistic, remembered, training_ids
 
 WINDOW = 5
 STEMS = (4, 5, 6)
@@ -189,16 +189,9 @@ class ToxicityModel:
         return docs.select("doc_id", "text").mapInPandas(find, "doc_id long, position long, term string, errors int, quoted boolean")
 
 
-_BUILT = {}
-
-
 def _lexicon(words, stems, fuzzy):
-    """The automaton of a task's process, built once for a lexicon."""
-    key = (tuple(sorted(words.items())), tuple(sorted(stems.items())), tuple(sorted(fuzzy.items())))
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = FuzzyLexicon(words, stems, fuzzy)
-    return _BUILT[key]
+    """A worker's automaton for a lexicon."""
+    return remembered("lexicon", (words, stems, fuzzy), lambda: FuzzyLexicon(words, stems, fuzzy))
 
 
 def _stems(k):

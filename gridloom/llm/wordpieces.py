@@ -14,6 +14,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import remembered
+
 WORDS = 400_000  # words remembered by a task; beyond, the memory starts anew
 START = "▁"
 
@@ -113,14 +115,9 @@ def vocabulary(path=None):
     return begin, [p for p in pieces if START not in p]
 
 
-_BUILT = {}
-
-
 def _automaton(path):
-    """A task process's automaton, built once for a vocabulary file."""
-    if path not in _BUILT:
-        _BUILT[path] = LongestMatch(*vocabulary(path))
-    return _BUILT[path]
+    """A worker's automaton for a vocabulary file."""
+    return remembered("wordpieces", path, lambda: LongestMatch(*vocabulary(path)))
 
 
 def token_counts(docs: DataFrame, path=None) -> DataFrame:
