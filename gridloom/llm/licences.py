@@ -109,8 +109,9 @@ def scan(docs: DataFrame, templates=None) -> DataFrame:
     for a in words:
         has = has | low.contains(a)
     rows = docs.where(has).select("doc_id", F.array_remove(F.split(low, SEPARATOR), "").alias("w"))
-    rows = rows.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(x.isin(words), i).otherwise(-1)), lambda i: i >= 0)).where(F.size("at") > 0)
-    rows = rows.select("doc_id", "at", _shingles(F.col("w")).alias("h")).where(F.size("h") > 0)
+    # no filter on derived arrays here: pushed down, it would split the text anew for every word
+    rows = rows.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(x.isin(words), i).otherwise(-1)), lambda i: i >= 0))
+    rows = rows.select("doc_id", "at", _shingles(F.col("w")).alias("h"))
     kind = F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(w).alias("width"), F.lit(s).alias("stride"), F.lit(b).alias("bands")) for k, (w, s, b, _) in kinds.items()]))
     rows = rows.select("doc_id", "at", "h", kind.alias("c"))
     # windows whose words width + 4 include an anchor
@@ -119,7 +120,7 @@ def scan(docs: DataFrame, templates=None) -> DataFrame:
     starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(first(p), last(p)))))
     windows = rows.select("doc_id", "c", "h", F.explode(starts).alias("k")).select(
         "doc_id", "c", (F.col("k") * F.col("c.stride")).alias("from"), F.slice("h", F.col("k") * F.col("c.stride") + 1, F.col("c.width")).alias("win"),
-    ).where(F.size("win") > 0)
+    )
     met = windows.select("doc_id", "c.id", "from", "win", F.posexplode(_signature(F.col("win"), F.col("c.bands"))).alias("band", "least"))
     known = spark.createDataFrame([(k, b, name, template_words(templates[name])) for k, (_, _, b, names) in kinds.items() for name in names], "id int, bands int, licence string, w array<string>")
     known = known.select("id", "bands", "licence", F.array_distinct(_shingles(F.col("w"))).alias("t"))
