@@ -61,7 +61,7 @@ def votes():
     """The rules' votes over the measures; a text without words is abstained on by all but the length rule."""
     n, c = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
     some = n > 0
-    mean = c / n
+    mean = c / F.greatest(n, F.lit(1.0))
     return [
         _rule("v_length", n < 50, n >= 100),
         _rule("v_word_size", some & ((mean < 2.5) | (mean > 12)), some & (mean >= 3) & (mean <= 8)),
