@@ -36,12 +36,14 @@ def allowed_errors(term):
 class FuzzyLexicon:
     """Words and stems with weights; ``find(word)`` gives (term, errors) or None.
 
-    A stem matches any word that begins with it, without errors.  Of several
-    matches the one with fewest errors counts, then the heaviest.
+    A stem matches any word that begins with it, without errors; misspelled
+    forms are matched by the words beside it.  Of several matches the one with
+    fewest errors counts, then the heaviest.  A word that is a stem too weighs
+    as the stem.
     """
 
     def __init__(self, words, stems, fuzzy=None):
-        self.weight = {**stems, **words}
+        self.weight = {**words, **stems}
         self.fuzzy = {(t, e): w * k for t, w in words.items() for e, k in PRIOR.items()} | (fuzzy or {})
         self.child, self.ends, self.limit, self.stem = [{}], [None], [0], [None]
         for term in sorted(words):
@@ -204,7 +206,8 @@ def mine(rows: DataFrame, terms=400, least_share=0.01, least_odds=1.5):
 
     A term is taken if the log-odds of its document frequencies, less two
     standard errors, reach ``least_odds`` and it stands in at least three and in
-    ``least_share`` of the toxic texts.  A longer term inside a stem is left out.
+    ``least_share`` of the toxic texts.  A longer stem inside a stem is left out;
+    words stay, as only they are found in misspelled forms.
     Counting is a grouped aggregate; the driver gets at most ``terms`` of each kind.
     """
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
@@ -233,7 +236,7 @@ def mine(rows: DataFrame, terms=400, least_share=0.01, least_odds=1.5):
         # a stem earns its place when more texts hold it than its commonest word accounts for
         if len(inside) != 1 and not any(r.term.startswith(s) for s in stems):
             stems[r.term] = r.odds
-    return {t: o for t, o in words.items() if not any(t.startswith(s) for s in stems)}, stems
+    return words, stems
 
 
 def misspelling_weights(rows: DataFrame, words, stems, prior=2.0):
