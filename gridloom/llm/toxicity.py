@@ -9,6 +9,7 @@ regression on labelled texts that mined no term turns the counts into a score.
 """
 
 import math
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +26,7 @@ WORD_CACHE = 400_000  # words remembered by a task; beyond, the memory starts an
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes word words term reported claimed dijo dice llamó palabra dit écrit mot sagte sagt nannte wort".split())
 QUOTES = '"“”„«»‘’`'
 PRIOR = {1: 0.8, 2: 0.5}  # weight of a form with so many errors before any is seen, as a share of the word's
+PART = re.compile(r"[^\W_]+")  # words as mining sees them
 EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + QUOTES + "…–—¡¿"
 
 
@@ -53,6 +55,7 @@ class FuzzyLexicon:
         self.states, self.keys, self.steps, self.final, self.begun = [], {}, [], [], []
         self.start = self._state({(0, 0)})
         self.memory = {}
+        self.longest = max((len(t) + allowed_errors(t) for t in self.weight), default=0)
 
     def _add(self, term, limit, stem):
         node = 0
@@ -114,27 +117,52 @@ class FuzzyLexicon:
             hit = min(hit, self.final[state]) if hit else self.final[state]
         return (hit[2], hit[0]) if hit else None
 
+    def parts(self, token):
+        """Matches inside a token of several words joined by marks ("liar,idiot").
+
+        Words that match by themselves count; between them, runs of words are read
+        with their marks, shortest first, for spellings that mask a letter.
+        """
+        places = [m.span() for m in PART.finditer(token)]
+        own = [self.find(token[a:b]) for a, b in places]
+        out, i = [], 0
+        while i < len(places):
+            hit, after = own[i], i + 1
+            for j in range(i + 1, len(places)):
+                if hit or own[j] or places[j][1] - places[i][0] > self.longest:
+                    break
+                hit, after = self.find(token[places[i][0] : places[j][1]]), j + 1
+            if hit:
+                out.append(hit)
+            i = after if hit else i + 1
+        return out
+
     def lookup(self, token):
-        """``find`` of a raw token without its edge marks, remembered."""
-        hit = self.find(token.strip(EDGES))
+        """Matches of a raw token without its edge marks, remembered."""
+        core = token.strip(EDGES)
+        found = self.parts(core) if core and not core.isalnum() else []
+        if not found:
+            hit = self.find(core)
+            found = [hit] if hit else []
         if len(token) <= 40:
             if len(self.memory) >= WORD_CACHE:
                 self.memory.clear()
-            self.memory[token] = hit
-        return hit
+            self.memory[token] = found
+        return found
 
     def hits(self, text):
-        """All hits of a text: (word position, term, errors, quoted)."""
+        """All hits of a text: (word position, term, errors, quoted); a word of several parts may hold several."""
         tokens = (text or "").lower().split()
         if not tokens or not self.weight:
             return [], len(tokens)
         memory, found = self.memory, []
         for i, t in enumerate(tokens):
-            hit = memory[t] if t in memory else self.lookup(t)
-            if hit is not None:
+            own = memory[t] if t in memory else self.lookup(t)
+            if own:
                 before, after = tokens[max(0, i - WINDOW) : i + 1], tokens[i : i + WINDOW + 1]
                 marks = any(x.lstrip("([{")[:1] in QUOTES for x in before) and any(x.rstrip(".,;:!?)]}")[-1:] in QUOTES for x in after)
-                found.append((i, *hit, marks or any(x.strip(EDGES) in REPORTING for x in before[:-1])))
+                quoted = marks or any(x.strip(EDGES) in REPORTING for x in before[:-1])
+                found += [(i, *hit, quoted) for hit in own]
         return found, len(tokens)
 
     def features(self, text):

@@ -20,3 +20,17 @@ def test_families_of_words_are_found_misspelled(spark):
     assert [lexicon.find(w)[1] for w in ("moron", "morons", "moronic", "m0ron", "m0rons", "nmoron")] == [0, 0, 0, 1, 1, 1]
     assert lexicon.find("barel3") is None
     assert all(lexicon.features(f"you {w} there")[0] > 0 for w in ("moron", "m0rons", "moronic"))
+
+
+def test_terms_joined_by_marks_are_found():
+    lexicon = toxicity.FuzzyLexicon({"idiot": 2.0, "moron": 2.0, "liar": 1.0}, {"stup": 1.5})
+    found = lambda t: [(p, term, e) for p, term, e, _ in lexicon.hits(t)[0]]
+    assert found("well you/idiot") == [(1, "idiot", 0)]
+    assert found("liar,idiot!") == [(0, "liar", 0), (0, "idiot", 0)]
+    assert found("stop—moron") == [(0, "moron", 0)]
+    assert found("an idiot's idea") == [(1, "idiot", 0)]
+    assert found("so_stupid the-stupidity") == [(0, "stup", 0), (1, "stup", 0)]
+    assert found("id*ot") == found("i*diot") == [(0, "idiot", 1)]
+    assert found("moron,id*ot/m*ron") == [(0, "moron", 0), (0, "idiot", 1), (0, "moron", 1)]
+    assert found("plain-words/with,marks ... --") == []
+    assert [h[3] for h in lexicon.hits('he said "you/idiot" again')[0]] == [True]
