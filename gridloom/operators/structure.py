@@ -178,12 +178,12 @@ def fit_arcs(points: DataFrame) -> DataFrame:
     m = m.select(
         *CLUSTER, (F.col("a") + F.col("mx")).alias("cxf"), (F.col("b") + F.col("my")).alias("cyf"),
         F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("z")).alias("rf"),
-    ).where("rf >= 1.0 and rf <= 10000.0")
+    )
     ang = F.atan2(y - F.col("cyf"), x - F.col("cxf"))
     ext = points.join(m, CLUSTER).groupBy(*CLUSTER, "cxf", "cyf", "rf").agg(F.min(ang).alias("a0"), F.max(ang).alias("a1"))
     med = order_statistic(points, CLUSTER, "e", {"force": 0.5}).drop("n")
     code = lambda c: clamp(round_half_away(F.col(c) * 128.0 / math.pi), -128.0, 127.0).cast("int")
-    whole = lambda c: round_half_away(F.col(c)).cast("int")
+    whole = lambda c: round_half_away(F.col(c)).cast("long")  # nearly straight clusters have far centres
     return ext.join(med, CLUSTER).select(
         *CLUSTER, whole("cxf").alias("cx"), whole("cyf").alias("cy"), whole("rf").alias("radius"), code("a0").alias("ts"), code("a1").alias("te"), "force",
     )
