@@ -81,6 +81,7 @@ RULES = ("v_length", "v_word_size", "v_symbols", "v_marks", "v_lines", "v_repeat
 EXPECTED = {1: {-1: 0.01, 0: 0.15, 1: 0.84}, 0: {-1: 0.50, 0: 0.25, 1: 0.25}}
 #: Rules are cut so that at most this share of good documents is voted bad; the estimate keeps to it.
 MOST_WRONG = 0.01
+TINY = 1e-9  # keeps the odds of the share finite
 
 
 def expectation_maximisation(patterns, rounds=200, weight=20.0, share=0.85):
@@ -90,7 +91,8 @@ def expectation_maximisation(patterns, rounds=200, weight=20.0, share=0.85):
     rules vote independently, each with its own chances of voting bad, none or
     good (its accuracy on either class and its coverage).  ``weight`` imagined
     documents of each class vote as ``EXPECTED``, which tells the classes apart
-    and stands in for rules without votes.
+    and stands in for rules without votes.  Rounds end when neither the share nor
+    any chance moves.
     """
     rules = len(patterns[0][0]) if patterns else len(RULES)
     chance = [{c: dict(EXPECTED[c]) for c in (1, 0)} for _ in range(rules)]
@@ -104,17 +106,22 @@ def expectation_maximisation(patterns, rounds=200, weight=20.0, share=0.85):
             for j, v in enumerate(votes_):
                 seen[j][1][v] += n * p
                 seen[j][0][v] += n * (1 - p)
-        before, share = share, min(0.99, max(0.01, good / total))
+        before = [share, *_flat(chance)]
+        share = min(1 - TINY, max(TINY, good / total))
         chance = [{c: {v: x / sum(s[c].values()) for v, x in s[c].items()} for c in (1, 0)} for s in seen]
         for c in chance:
             wrong = min(MOST_WRONG, c[1][-1])
             rest = c[1][0] + c[1][1]
             c[1] = {-1: wrong, 0: c[1][0] * (1 - wrong) / rest, 1: c[1][1] * (1 - wrong) / rest}
-        if abs(share - before) < 1e-10:
+        if max(abs(a - b) for a, b in zip(before, [share, *_flat(chance)])) < 1e-10:
             break
     return share, chance
 
 
+def _flat(chance):
+    return [x for rule in chance for c in (1, 0) for x in rule[c].values()]
+
+
 def evidence(chance, v):
     """Log-odds that one vote adds."""
     return math.log(chance[1][v] / chance[0][v])
