@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, with production parameters, and SQL where SQL can express them."""
 
-from gridloom.llm import archive, compression, dedup, licences, packing, sampling, toxicity, weaksup, webp, wordpieces
+from gridloom.llm import archive, compression, dedup, licences, packing, resampling, sampling, toxicity, weaksup, webp, wordpieces
 from gridloom.llm.common import Scratch, table
 
 
@@ -46,5 +46,9 @@ def op9_fuzzy_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bottom_k_dedup, op2_longest_match_tokens, op3_licence_scan, op4_lossless_webp, op5_length_buckets, op6_weak_supervision, op7_gumbel_segmentations, op8_repair_archive, op9_fuzzy_toxicity, op10_compression_quality)}
-SQL = {"op1_bottom_k_dedup": dedup.near_duplicates_sql(2, 80), "op3_licence_scan": licences.scan_sql()}
+def op11_importance_resampling(spark, folder):
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bottom_k_dedup, op2_longest_match_tokens, op3_licence_scan, op4_lossless_webp, op5_length_buckets, op6_weak_supervision, op7_gumbel_segmentations, op8_repair_archive, op9_fuzzy_toxicity, op10_compression_quality, op11_importance_resampling)}
+SQL = {"op1_bottom_k_dedup": dedup.near_duplicates_sql(2, 80), "op3_licence_scan": licences.scan_sql(), "op11_importance_resampling": resampling.resample_sql()}
