@@ -1,6 +1,6 @@
 """The operators' queries over whole tables, with production parameters, and SQL where SQL can express them."""
 
-from gridloom.llm import archive, compression, conversations, dedup, licences, packing, resampling, sampling, toxicity, weaksup, webp, wordpieces
+from gridloom.llm import archive, compression, conversations, dedup, licences, packing, resampling, residuals, sampling, toxicity, weaksup, webp, wordpieces
 from gridloom.llm.common import Scratch, table
 
 
@@ -54,5 +54,9 @@ def op12_survivor_viterbi(spark, folder):
     return conversations.repair(table(spark, folder, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bottom_k_dedup, op2_longest_match_tokens, op3_licence_scan, op4_lossless_webp, op5_length_buckets, op6_weak_supervision, op7_gumbel_segmentations, op8_repair_archive, op9_fuzzy_toxicity, op10_compression_quality, op11_importance_resampling, op12_survivor_viterbi)}
+def op13_residual_packing(spark, folder):
+    return residuals.packed_pieces(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bottom_k_dedup, op2_longest_match_tokens, op3_licence_scan, op4_lossless_webp, op5_length_buckets, op6_weak_supervision, op7_gumbel_segmentations, op8_repair_archive, op9_fuzzy_toxicity, op10_compression_quality, op11_importance_resampling, op12_survivor_viterbi, op13_residual_packing)}
 SQL = {"op1_bottom_k_dedup": dedup.near_duplicates_sql(2, 80), "op3_licence_scan": licences.scan_sql(), "op11_importance_resampling": resampling.resample_sql(), "op12_survivor_viterbi": conversations.repair_sql()}

@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,18 +82,20 @@ def scores(docs: DataFrame, target: DataFrame, seed=42, buckets=BUCKETS) -> Data
     """One row per document: doc_id, n_words, n_features, weight, score."""
     gains = bucket_gains(docs, target, buckets)
 
+    names = ["doc_id", "n_words", "n_features", "weight", "score"]
+
     def score(batches):
         for b in batches:
             out = []
-            for d, text in zip(b.doc_id, b.text):
-                d = None if pd.isna(d) else int(d)
+            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n, at = features(text, buckets)
                 weight = int(gains[at].sum())
                 out.append((d, n, len(at), weight, weight + gumbel(d, seed)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_features", "weight", "score"]).astype({"doc_id": "Int64"})
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(score, "doc_id long, n_words long, n_features long, weight long, score long")
+    return rows.mapInArrow(score, ", ".join(f"{c} long" for c in names))
 
 
 def ordered_bits(value, descending=False):

@@ -51,7 +51,7 @@ def texts():
     rng = random.Random(5)
     words = ["Alpha", "beta", "çedille", "x1", "42", "straße", "Ünder", "the", "of", "naïve"]
     docs = [(i, rng.choice([" ", "-", "\n"]).join(rng.choices(words, k=rng.choice([0, 1, 2, 3, 19, 20, 60])))) for i in range(300)]
-    docs += [(None, None), (None, "the of " * 30), (-7, "beta " * 25), (-7, "beta " * 25), (-7, "Beta! " * 25), (1 << 62, ""), (-(1 << 63), "x " * 30), (900, "long " * 120_000)]
+    docs += [(None, None), (None, "the of " * 30), (-7, "beta " * 25), (-7, "beta " * 25), (-7, "Beta! " * 25), ((1 << 62) + 1, ""), ((1 << 62) + 3, "odd id " * 20), (-(1 << 63), "x " * 30), (900, "long " * 120_000)]
     return docs, ["the of the beta", None, "", "naïve straße 42 " * 20]
 
 
