@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog.base import Sql, add
 from gridloom.kernels import byte_counts
+from gridloom.operators import scans
 from gridloom.operators import sequences as sq
 
 C = F.col
@@ -132,3 +133,41 @@ def _doc_bytes(c):
 
 add("document_entropy", lambda c: sq.entropy_of_counts(_doc_bytes(c), ["doc_id"], "n"),
     lambda q: _entropy_sql(q, q.cte("SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents"), "doc_id", "byte"), "doc_id n n_symbols", "entropy")
+
+
+def _byte_streams(c):
+    return scans.byte_chunks(c.table("documents"), "source", "doc_id")
+
+
+def _byte_lists(q):
+    return q.cte("SELECT source, regexp_extract_all(string_agg(hex(encode(text)), '' ORDER BY doc_id), '..') AS l FROM documents GROUP BY source", "bytes")
+
+
+LEVEL = "((('0x' || x)::INT >> 4) - 6)"
+
+
+def _long_energy_sql(q):
+    zero = "{'a': 0, 'e': 0, 't': 0::BIGINT, 'e0': 0, 'e1': 0, 'e2': 0, 'e3': 0}"
+    s = q.cte(f"SELECT source, list_transform(l, lambda x: {{'a': abs({LEVEL}), 'e': 0, 't': 0::BIGINT, 'e0': 0, 'e1': 0, 'e2': 0, 'e3': 0}}) AS l FROM {_byte_lists(q)}")
+    r = q.cte(
+        f"SELECT source, len(l) AS n, list_reduce(l, lambda r, x: {{'a': 0, 'e': (218 * r.e + 38 * least(32 * x.a, 256)) // 256, 't': r.t + r.e, 'e0': r.e0 + (r.e < 16)::INT, 'e1': r.e1 + (r.e >= 16 AND r.e < 64)::INT, "
+        f"'e2': r.e2 + (r.e >= 64 AND r.e < 160)::INT, 'e3': r.e3 + (r.e >= 160)::INT}}, {zero}) AS r FROM {s}")
+    return q.cte(f"SELECT source, n, r.t AS energy_sum, r.e0 AS e0, r.e1 AS e1, r.e2 AS e2, r.e3 AS e3, r.e AS energy_end FROM {r} WHERE n > 0")
+
+
+add("long_energy", lambda c: scans.byte_energy(_byte_streams(c), "source"), _long_energy_sql, "n energy_sum e0 e1 e2 e3 energy_end", strs="source")
+
+
+def _long_residual_sql(q):
+    s = q.cte(f"SELECT source, pos, {LEVEL} AS sym FROM (SELECT source, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM {_byte_lists(q)})")
+    s = q.cte(f"SELECT *, coalesce(lag(sym) OVER (PARTITION BY source ORDER BY pos), 0) AS p FROM {s}")
+    s = q.cte(f"SELECT source, CASE WHEN p < 0 THEN 4 ELSE 0 END + CASE WHEN abs(p) >= 4 THEN 3 WHEN abs(p) >= 2 THEN 2 ELSE abs(p) END AS ctx, pos, sym = 0 AS hit FROM {s}")
+    s = q.cte(f"SELECT source, ctx, list({{'h': hit, 'p': 0, 'b': 0.0::DOUBLE}} ORDER BY pos) AS l FROM {s} GROUP BY ALL")
+    r = q.cte(
+        f"SELECT source, ctx, len(l) AS n, list_reduce(l, lambda r, x: {{'h': true, 'p': CASE WHEN x.h THEN r.p + (16384 - r.p) // 32 ELSE r.p - r.p // 32 END, "
+        f"'b': r.b - log2(least(greatest(CASE WHEN x.h THEN r.p ELSE 16384 - r.p END, 1), 16383) / 16384.0::DOUBLE)}}, {{'h': true, 'p': 6554, 'b': 0.0::DOUBLE}}) AS r FROM {s}")
+    return q.cte(f"SELECT source, ctx, n, r.p AS p_final, r.b AS bits FROM {r}")
+
+
+add("long_residual_cost", lambda c: scans.byte_residual_cost(_byte_streams(c), "source"), _long_residual_sql, "ctx n p_final", "bits", "source", digits=4)
+add("long_model_cost", lambda c: scans.byte_model_cost(_byte_streams(c), "source"), None, "ctx n p_final", "bits", "source model", digits=4)
