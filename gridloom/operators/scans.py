@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.constants import (
     ADAPT_SHIFT, ENERGY_ALPHA, ENERGY_SCALE, P_PM1_INIT, P_RESIDUAL_INIT, P_ZERO_INIT, PROB_SCALE, RESIDUAL_SHIFT,
@@ -224,6 +225,38 @@ def adaptive_bits(chunks: DataFrame, keys, start=P_ZERO_INIT, shift=ADAPT_SHIFT,
         F.sum("c.n").alias("n"), F.max_by("c.last", "index").alias("p_final"), F.sum("c.bits").alias("bits"))
 
 
+# ---- streams of rows ---------------------------------------------------
+
+@F.pandas_udf(T.BinaryType())
+def _magnitudes(values: pd.Series) -> pd.Series:
+    return pd.Series([np.minimum(np.abs(v), 8).astype(np.uint8).tobytes() for v in values])
+
+
+@F.pandas_udf(T.BinaryType())
+def _as_bytes(values: pd.Series) -> pd.Series:
+    return pd.Series([np.asarray(v, dtype=np.uint8).tobytes() for v in values])
+
+
+def row_chunks(df: DataFrame, keys, columns, chunk_bits=16, pos="pos") -> DataFrame:
+    """Rows of each stream by position, in chunks: keys, index, rows (an array of pos and columns in order)."""
+    inside = F.array_sort(F.collect_list(F.struct(pos, *columns)))
+    return df.groupBy(*keys, F.shiftright(pos, chunk_bits).alias("index")).agg(inside.alias("rows"))
+
+
+def energy_before(df: DataFrame, keys, columns, chunk_bits=16) -> DataFrame:
+    """Rows (keys, pos, columns with ``sym``) with ``energy``, the smoothed energy before each symbol."""
+    chunks = cut_lineage(row_chunks(df, keys, columns, chunk_bits).withColumn("symbols", _magnitudes("rows.sym")))
+    filled = entered(chunks, keys, energy_machine()).withColumn("e", states_before(energy_machine())("symbols", "start"))
+    rows = filled.select(*keys, F.explode(F.arrays_zip("rows", "e")).alias("z"))
+    return rows.select(*keys, *[F.col(f"z.rows.{c}").alias(c) for c in ("pos", *columns)], F.col("z.e").alias("energy"))
+
+
+def adaptive_rows(df: DataFrame, keys, start=P_ZERO_INIT, shift=ADAPT_SHIFT, chunk_bits=16) -> DataFrame:
+    """Adaptive code length of the flags ``hit`` (0 or 1) of each stream of rows (keys, pos, hit): keys, n, p_final, bits."""
+    chunks = row_chunks(df, keys, ["hit"], chunk_bits).select(*keys, "index", _as_bytes("rows.hit").alias("symbols"))
+    return adaptive_bits(cut_lineage(chunks), keys, start, shift)
+
+
 # ---- streams of text ---------------------------------------------------
 
 def byte_chunks(docs: DataFrame, key, order, text="text", chunk=CHUNK) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.constants import (
-    ADAPT_SHIFT, ENERGY_ALPHA, ENERGY_SCALE, P_PM1_INIT, P_RESIDUAL_INIT, P_ZERO_INIT,
-    PROB_SCALE, RESIDUAL_SHIFT,
+    ADAPT_SHIFT, P_PM1_INIT, P_RESIDUAL_INIT, P_ZERO_INIT, RESIDUAL_SHIFT,
 )
 from gridloom.functions.quant import bits
 from gridloom.functions.symbols import pm1_context, residual_context, zero_context
+from gridloom.operators.scans import adaptive_rows, energy_before
 
 CHUNK = 1 << 16
 
@@ -116,31 +116,13 @@ def entropy_of_counts(hist: DataFrame, keys, count) -> DataFrame:
     )
 
 
-def energy_fold(df: DataFrame, keys=("stream_id",)) -> DataFrame:
-    """Smoothed integer energy seen *before* each symbol of a short block.
+def energy_fold(df: DataFrame, keys=("stream_id",), chunk_bits=16) -> DataFrame:
+    """Smoothed integer energy seen *before* each symbol.
 
-    The recurrence divides integers, so it is folded in order over one block;
-    a block has at most 32*32 symbols.
+    The recurrence divides integers, so it is no sum: chunks of a stream are
+    joined by their state maps (:mod:`gridloom.operators.scans`).
     """
-    block = df.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "sym", "bucket"))).alias("s")
-    )
-
-    def step(acc, s):
-        sample = F.least(F.abs(s["sym"]) * 32, F.lit(ENERGY_SCALE))
-        mixed = acc["e"] * ENERGY_ALPHA + sample * (ENERGY_SCALE - ENERGY_ALPHA)
-        return F.struct(
-            F.shiftright(mixed.cast("int"), 8).alias("e"),
-            F.concat(acc["out"], F.array(acc["e"])).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("e"), F.array().cast("array<int>").alias("out"))
-    block = block.withColumn("e", F.aggregate("s", start, step)["out"])
-    pairs = F.arrays_zip("s", "e")
-    return block.select(*keys, F.explode(pairs).alias("z")).select(
-        *keys, F.col("z.s.pos").alias("pos"), F.col("z.s.sym").alias("sym"),
-        F.col("z.s.bucket").alias("bucket"), F.col("z.e").alias("energy"),
-    )
+    return energy_before(df, list(keys), ["sym", "bucket"], chunk_bits)
 
 
 def contexts(df: DataFrame, keys=("stream_id",), chunk=CHUNK) -> DataFrame:
@@ -180,29 +162,11 @@ def context_rollup(ctx: DataFrame) -> DataFrame:
     )
 
 
-def adaptive_cost(df: DataFrame, ctx, hit, keys=("stream_id",), start=P_ZERO_INIT, shift=ADAPT_SHIFT) -> DataFrame:
-    """Adaptive code length of a binary flag, folded per (stream, context).
-
-    Streams are blocks or image rows, so each folded array is short.
-    """
+def adaptive_cost(df: DataFrame, ctx, hit, keys=("stream_id",), start=P_ZERO_INIT, shift=ADAPT_SHIFT, chunk_bits=16) -> DataFrame:
+    """Adaptive code length of a binary flag per (stream, context), however long the stream."""
     hit = hit if not isinstance(hit, str) else F.col(hit)
-    runs = df.select(*keys, F.col(ctx).alias("ctx"), "pos", hit.cast("int").alias("hit")).groupBy(*keys, "ctx").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "hit"))).alias("s")
-    )
-
-    def step(acc, s):
-        p = acc["p"]
-        seen = F.when(s["hit"] == 1, p).otherwise(PROB_SCALE - p)
-        seen = F.least(F.greatest(seen, F.lit(1)), F.lit(PROB_SCALE - 1))
-        moved = F.when(s["hit"] == 1, p + F.shiftright(PROB_SCALE - p, shift)).otherwise(p - F.shiftright(p, shift))
-        return F.struct(moved.cast("int").alias("p"), (acc["bits"] + bits(seen / float(PROB_SCALE))).alias("bits"))
-
-    init = F.struct(F.lit(start).cast("int").alias("p"), F.lit(0.0).alias("bits"))
-    folded = F.aggregate("s", init, step)
-    return runs.select(
-        *keys, "ctx", F.size("s").cast("long").alias("n"),
-        folded["p"].alias("p_final"), folded["bits"].alias("bits"),
-    )
+    flags = df.select(*keys, F.col(ctx).alias("ctx"), "pos", hit.cast("int").alias("hit"))
+    return adaptive_rows(flags, [*keys, "ctx"], start, shift, chunk_bits)
 
 
 def stream_cost(ctx: DataFrame, keys=("stream_id",)) -> DataFrame:
