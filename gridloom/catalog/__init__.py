@@ -4,7 +4,7 @@ import importlib
 
 from gridloom.catalog.base import REGISTRY
 
-MODULES = ("pointwise", "neighbourhood", "aggregates", "blocks", "sequences", "structure", "streams")
+MODULES = ("pointwise", "neighbourhood", "aggregates", "blocks", "sequences", "structure", "streams", "files")
 
 
 def registered():

@@ -34,6 +34,12 @@ def _checkpoint_dir_set(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def scratch_folder(spark) -> str:
+    """Folder for intermediate tables and files that all executors share: that of ``spark.checkpoint.dir``."""
+    _checkpoint_dir_set(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a result as a table in the shared checkpoint folder.
 
@@ -43,7 +49,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     from round to round of an iteration.  Whoever runs a job clears the folder.
     """
     spark = df.sparkSession
-    _checkpoint_dir_set(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
