@@ -8,6 +8,7 @@ from gridloom.catalog.base import Sql, add
 from gridloom.constants import BAND_HH, BAND_HL, BAND_LH, LCG_MOD, LCG_MUL
 from gridloom.operators import augment as au
 from gridloom.operators import patches as pt
+from gridloom.operators import paths
 from gridloom.operators import stats as sx
 from gridloom.operators import structure as gs
 from gridloom.operators.saliency import saliency_field
@@ -190,6 +191,41 @@ def _ridges(c):
 add("ridge_components", _ridges, _ridge_sql, PX + " comp i n", "t grad orientation")
 
 
+def _plane_field(c):
+    f = cut_lineage(saliency_field(c.plane()))
+    return f.withColumns({"t": F.round("t", 9), "grad": F.round("grad", 9)})
+
+
+def _paths_sql(q, threshold=0.15, longest=2560):
+    """Every walk step by step; no walk has more steps than its image has states."""
+    f = q.cte(f"SELECT {q.PX}, round(t, 9) AS t, round(grad, 9) AS grad FROM {q.field(q.plane())}")
+    g = q.cte(
+        f"SELECT *, sqrt(gx * gx + gy * gy) AS len FROM (SELECT {q.PX}, t, grad, (coalesce(n21, t) - coalesce(n01, t)) / CASE WHEN n21 IS NOT NULL AND n01 IS NOT NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS gy, "
+        f"(coalesce(n12, t) - coalesce(n10, t)) / CASE WHEN n12 IS NOT NULL AND n10 IS NOT NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS gx, "
+        f"t >= greatest({', '.join(f'n{i}{j}' for i in range(3) for j in range(3))}) AS peak FROM {q.ring(f, 't')})")
+    p = q.cte(f"SELECT image_id, ch, y, x, y * 40 + x AS id, t, grad, peak, CASE WHEN len >= 1e-12 THEN -gx / len END AS dy, CASE WHEN len >= 1e-12 THEN gy / len END AS dx FROM {g} WHERE t >= {threshold}")
+    s = q.cte(
+        f"SELECT a.image_id, a.ch, a.id * 2 + s AS state, b.id * 2 + CASE WHEN coalesce(a.dy * b.dy + a.dx * b.dx, 0.0) < 0 THEN 1 - s ELSE s END AS nxt FROM {p} a CROSS JOIN (VALUES (0), (1)) AS h(s) "
+        f"JOIN {p} b ON b.image_id = a.image_id AND b.ch = a.ch AND b.y = a.y + {Sql.rha('(a.dy * (1 - 2 * s))')} AND b.x = a.x + {Sql.rha('(a.dx * (1 - 2 * s))')}")
+    seed = q.cte(f"SELECT image_id, ch, id FROM {p} WHERE peak AND t > {threshold}")
+    w = q.cte(
+        f"SELECT image_id, ch, id * 2 AS walk, id * 2 AS state, 0 AS dist FROM {seed} UNION ALL SELECT image_id, ch, id * 2 + 1, nxt, 1 FROM {seed} JOIN {s} USING (image_id, ch) WHERE state = id * 2 + 1 "
+        f"UNION ALL SELECT r.image_id, r.ch, r.walk, e.nxt, r.dist + 1 FROM @self r JOIN {s} e ON e.image_id = r.image_id AND e.ch = r.ch AND e.state = r.state WHERE r.dist < {longest}", "walks", True)
+    r = q.cte(f"SELECT image_id, ch, state, state // 2 AS id, min(walk * 10000 + dist) AS own FROM {w} GROUP BY ALL")
+    m = q.cte(f"SELECT *, own // 10000 AS walk, own % 10000 AS dist, state = arg_min(state, own * 10000 + state) OVER (PARTITION BY image_id, ch, id) AS mine FROM {r}")
+    e = q.cte(f"SELECT image_id, ch, walk, coalesce(min(dist) FILTER (NOT mine), 100000) AS stop, coalesce(bool_or(mine AND dist = 0), false) AS begun FROM {m} GROUP BY ALL")
+    k = q.cte(
+        f"SELECT m.image_id, m.ch, m.walk // 2 AS comp, id, CASE WHEN m.walk % 2 = 1 THEN -dist ELSE dist END AS o FROM {m} m JOIN {e} e ON e.image_id = m.image_id AND e.ch = m.ch AND e.walk = m.walk AND m.dist < e.stop "
+        f"WHERE mine AND EXISTS (SELECT 1 FROM {e} b WHERE b.image_id = m.image_id AND b.ch = m.ch AND b.walk = m.walk - m.walk % 2 AND b.begun)")
+    k = q.cte(f"SELECT *, o - min(o) OVER c AS i, count(*) OVER c AS n FROM {k} WINDOW c AS (PARTITION BY image_id, ch, comp)")
+    k = q.cte(f"SELECT image_id, ch, comp, i, n, y, x, t, grad FROM {k} JOIN {p} USING (image_id, ch, id) WHERE n >= 3")
+    o = "OVER (PARTITION BY image_id, ch, comp ORDER BY i)"
+    return q.cte(f"SELECT *, atan2(coalesce(lead(y) {o}, y) - coalesce(lag(y) {o}, y), coalesce(lead(x) {o}, x) - coalesce(lag(x) {o}, x)) AS orientation FROM {k}")
+
+
+add("ridge_paths", lambda c: paths.ridge_paths(_plane_field(c)), _paths_sql, PX + " comp i n", "t grad orientation")
+
+
 def _near_prims(c):
     """Primitives in block coordinates, one set per supplier, from line items."""
     li = c.table("lineitem").dropDuplicates(["l_suppkey", "l_orderkey"]).select(C("l_suppkey").alias("image_id"), "l_orderkey")
