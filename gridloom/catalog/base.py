@@ -84,12 +84,12 @@ class Sql:
     def __init__(self):
         self.parts, self.names, self.recursive = [], {}, False
 
-    def cte(self, body, hint="t", recursive=False):
+    def cte(self, body, hint="t", recursive=False, columns=""):
         if body in self.names:
             return self.names[body]
         name = f"{hint}_{len(self.parts)}"
         self.recursive |= recursive
-        self.parts.append(f"{name} AS ({body.replace('@self', name)})")
+        self.parts.append(f"{name}{columns} AS ({body.replace('@self', name)})")
         self.names[body] = name
         return name
 
@@ -323,7 +323,7 @@ class Sql:
         m = self.cte(f"SELECT image_id, ch, y, x, y * 1000000 + x AS id FROM {mask}", "msk")
         e = self.cte(f"SELECT a.image_id, a.ch, a.id AS s, b.id AS d FROM {m} a CROSS JOIN (SELECT unnest(range(-1, 2)) AS dy) u CROSS JOIN (SELECT unnest(range(-1, 2)) AS dx) v "
                      f"JOIN {m} b ON b.image_id = a.image_id AND b.ch = a.ch AND b.y = a.y + dy AND b.x = a.x + dx", "adj")
-        r = self.cte(f"SELECT image_id, ch, id, id AS root FROM {m} UNION SELECT r.image_id, r.ch, e.d, r.root FROM @self r JOIN {e} e ON e.image_id = r.image_id AND e.ch = r.ch AND e.s = r.id", "reach", True)
+        r = self.cte(f"SELECT image_id, ch, id, id AS root FROM {m} UNION SELECT r.image_id, r.ch, e.d, r.root FROM @self r JOIN {e} e ON e.image_id = r.image_id AND e.ch = r.ch AND e.s = r.id WHERE r.root < e.d", "reach", True)
         l = self.cte(f"SELECT image_id, ch, id, min(root) AS root FROM {r} GROUP BY ALL", "lab")
         return self.cte(f"SELECT image_id, ch, id // 1000000 AS y, id % 1000000 AS x, dense_rank() OVER (PARTITION BY image_id, ch ORDER BY root) - 1 AS comp FROM {l}", "comp")
 

@@ -19,16 +19,12 @@ PX = "image_id ch y x"
 CL = "image_id ch comp"
 
 
-# Masks and bands are fed uncut; the SQL texts keep the cuts of earlier rounds
-# (v > 330, v > 60, differences over 75) and so describe a smaller job.
-
-
 def _mask(c):
     return c.activity().where("v > 0").select(*PX.split())
 
 
 def _mask_sql(q):
-    return q.cte(f"SELECT {q.PX} FROM {q.activity()} WHERE v > 330")
+    return q.cte(f"SELECT {q.PX} FROM {q.activity()} WHERE v > 0")
 
 
 add("mask_runs", lambda c: gs.mask_runs(c.ship().where("v > 25")),
@@ -37,7 +33,7 @@ add("mask_runs", lambda c: gs.mask_runs(c.ship().where("v > 25")),
     "image_id ch y x0 x1")
 add("connected_components", lambda c: gs.connected_components(_mask(c)), lambda q: q.components(_mask_sql(q)), PX + " comp")
 add("connected_components_ship", lambda c: gs.connected_components(c.ship().where("v > 0").select(*PX.split())),
-    lambda q: q.components(q.cte(f"SELECT {q.PX} FROM {q.ship()} WHERE v > 60")), PX + " comp")
+    lambda q: q.components(q.cte(f"SELECT {q.PX} FROM {q.ship()} WHERE v > 0")), PX + " comp")
 
 
 def _bands(c):
@@ -49,18 +45,17 @@ def _bands(c):
 
 
 def _bands_sql(q):
-    cut = lambda e: f"CASE WHEN abs({e}) > 75 THEN ({e}) / 8.0 ELSE 0.0 END"
-    return q.cte(f"SELECT {q.PX}, {cut('dy')} AS lh, {cut('dx')} AS hl, {cut('dx + dy')} AS hh FROM {q.fdiff(q.ship())}")
+    return q.cte(f"SELECT {q.PX}, dy / 8.0 AS lh, dx / 8.0 AS hl, (dx + dy) / 8.0 AS hh FROM {q.fdiff(q.ship())}")
 
 
-def _clusters_sql(q):
-    e = q.cte(f"SELECT {q.PX}, abs(lh) + abs(hl) + abs(hh) AS e FROM {_bands_sql(q)}")
+def _clusters_sql(q, bands=None, radius=2, least=13):
+    e = q.cte(f"SELECT {q.PX}, abs(lh) + abs(hl) + abs(hh) AS e FROM {bands or _bands_sql(q)}")
     m = q.cte(f"SELECT *, (e > 0.5)::INT AS m FROM {e}")
-    a = q.cte(f"SELECT *, max(m) OVER (PARTITION BY image_id, ch, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS a FROM {m}")
-    g = q.cte(f"SELECT {q.PX} FROM (SELECT {q.PX}, max(a) OVER (PARTITION BY image_id, ch, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS g FROM {a}) WHERE g = 1")
+    a = q.cte(f"SELECT *, max(m) OVER (PARTITION BY image_id, ch, y ORDER BY x ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING) AS a FROM {m}")
+    g = q.cte(f"SELECT {q.PX} FROM (SELECT {q.PX}, max(a) OVER (PARTITION BY image_id, ch, x ORDER BY y ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING) AS g FROM {a}) WHERE g = 1")
     k = q.components(g)
     p = q.cte(f"SELECT {q.PX}, comp, e, count(*) OVER (PARTITION BY image_id, ch, comp) AS n_points FROM {m} JOIN {k} USING (image_id, ch, y, x) WHERE m = 1")
-    return q.cte(f"SELECT *, row_number() OVER (PARTITION BY image_id, ch, comp ORDER BY y, x) - 1 AS i FROM {p} WHERE n_points >= 13")
+    return q.cte(f"SELECT *, row_number() OVER (PARTITION BY image_id, ch, comp ORDER BY y, x) - 1 AS i FROM {p} WHERE n_points >= {least}")
 
 
 def _points(c):
@@ -74,17 +69,17 @@ def _points(c):
 add("clusters", _points, None, PX + " comp i n_points", "e")
 
 
-def _osc_sql(q):
-    g = q.cte(f"SELECT image_id, ch, comp, sum(e * sin(2 * pi() * 0.30901699437494742::DOUBLE * i)) AS s, sum(e * cos(2 * pi() * 0.30901699437494742::DOUBLE * i)) AS c, count(*) AS n FROM {_clusters_sql(q)} GROUP BY ALL")
+def _osc_sql(q, clusters=None):
+    g = q.cte(f"SELECT image_id, ch, comp, sum(e * sin(2 * pi() * 0.30901699437494742::DOUBLE * i)) AS s, sum(e * cos(2 * pi() * 0.30901699437494742::DOUBLE * i)) AS c, count(*) AS n FROM {clusters or _clusters_sql(q)} GROUP BY ALL")
     return q.cte(f"SELECT image_id, ch, comp, sqrt(s * s + c * c) * 2.0 / n AS amp_raw, atan2(c, s) AS phase_raw FROM {g}")
 
 
 add("oscillation", lambda c: gs.oscillation(_points(c)), None, CL, "amp_raw phase_raw")
 
 
-def _seg_sql(q):
-    p = _clusters_sql(q)
-    a = q.cte(f"SELECT image_id, ch, comp, sum(greatest(e, 1e-9)) AS sw, sum(x * greatest(e, 1e-9)) / sum(greatest(e, 1e-9)) AS cx, sum(y * greatest(e, 1e-9)) / sum(greatest(e, 1e-9)) AS cy FROM {p} GROUP BY ALL")
+def _seg_sql(q, clusters=None):
+    p = clusters or _clusters_sql(q)
+    a = q.cte(f"SELECT image_id, ch, comp, sum(greatest(e, 1e-9)) AS sw, sum(x * greatest(e, 1e-9)) / sum(greatest(e, 1e-9)) AS cx, sum(y * greatest(e, 1e-9)) / sum(greatest(e, 1e-9)) AS cy FROM {p} GROUP BY ALL HAVING count(*) >= 3")
     v = q.cte(f"SELECT image_id, ch, comp, cx, cy, sum(e * (x - cx) * (x - cx)) / any_value(sw) AS xx, sum(e * (x - cx) * (y - cy)) / any_value(sw) AS xy, sum(e * (y - cy) * (y - cy)) / any_value(sw) AS yy FROM {p} JOIN {a} USING (image_id, ch, comp) GROUP BY ALL")
     l = q.cte(f"SELECT *, (xx + yy) / 2.0 + sqrt(greatest((xx + yy) * (xx + yy) / 4.0 - (xx * yy - xy * xy), 0.0)) - yy AS px FROM {v}")
     d = q.cte(f"SELECT *, CASE WHEN abs(xy) > 1e-12 THEN px / sqrt(px * px + xy * xy) WHEN xx >= yy THEN 1.0 ELSE 0.0 END AS ux, CASE WHEN abs(xy) > 1e-12 THEN xy / sqrt(px * px + xy * xy) WHEN xx >= yy THEN 0.0 ELSE 1.0 END AS uy FROM {l}")
@@ -96,34 +91,73 @@ def _seg_sql(q):
 add("fit_segments", lambda c: gs.fit_segments(_points(c)), None, CL + " x1 y1 x2 y2")
 
 
-def _arc_sql(q):
-    p = _clusters_sql(q)
-    a = q.cte(f"SELECT image_id, ch, comp, avg(x) AS mx, avg(y) AS my FROM {p} GROUP BY ALL")
+def _arc_sql(q, clusters=None):
+    p = clusters or _clusters_sql(q)
+    a = q.cte(f"SELECT image_id, ch, comp, avg(x) AS mx, avg(y) AS my FROM {p} GROUP BY ALL HAVING count(*) >= 5")
     u = q.cte(f"SELECT image_id, ch, comp, mx, my, x, y, x - mx AS u, y - my AS v, power(x - mx, 2) + power(y - my, 2) AS z FROM {p} JOIN {a} USING (image_id, ch, comp)")
     m = q.cte(f"SELECT image_id, ch, comp, mx, my, avg(u * u) AS uu, avg(v * v) AS vv, avg(u * v) AS uv, avg(u * z) AS uz, avg(v * z) AS vz, avg(z) AS z FROM {u} GROUP BY ALL")
     s = q.cte(f"SELECT image_id, ch, comp, mx, my, z, (vv * uz - uv * vz) / 2.0 / (uu * vv - uv * uv) AS a, (uu * vz - uv * uz) / 2.0 / (uu * vv - uv * uv) AS b FROM {m} WHERE abs(uu * vv - uv * uv) >= 1e-12")
-    r = q.cte(f"SELECT image_id, ch, comp, a + mx AS cxf, b + my AS cyf, sqrt(a * a + b * b + z) AS rf FROM {s} WHERE a * a + b * b + z BETWEEN 1.0 AND 1e8")
-    e = q.cte(f"SELECT image_id, ch, comp, cxf, cyf, rf, min(atan2(y - cyf, x - cxf)) AS a0, max(atan2(y - cyf, x - cxf)) AS a1 FROM {p} JOIN {r} USING (image_id, ch, comp) GROUP BY ALL")
+    r = q.cte(f"SELECT image_id, ch, comp, a + mx AS cxf, b + my AS cyf, sqrt(a * a + b * b + z) AS rf FROM {s} WHERE a * a + b * b + z >= 0")
+    g = q.cte(f"SELECT image_id, ch, comp, cxf, cyf, rf, round(atan2(y - cyf, x - cxf), 9) AS a FROM {p} JOIN {r} USING (image_id, ch, comp)")
+    g = q.cte(f"SELECT *, coalesce(lag(a) OVER w, last_value(a) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) - 2 * pi()) AS b FROM {g} WINDOW w AS (PARTITION BY image_id, ch, comp ORDER BY a)")
+    g = q.cte(f"SELECT *, row_number() OVER (PARTITION BY image_id, ch, comp ORDER BY round(a - b, 9) DESC, a) AS k FROM {g}")
+    e = q.cte(f"SELECT image_id, ch, comp, cxf, cyf, rf, a AS a0, b + 2 * pi() AS a1 FROM {g} WHERE k = 1")
     f = q.stat(p, "e", {"force": 0.5}, "image_id, ch, comp")
-    code = lambda c: f"least(greatest({Sql.rha(f'({c} * 128.0 / pi())')}, -128), 127)"
+    code = lambda c: f"{Sql.rha(f'({c} * 128.0 / pi())')}"
     return q.cte(f"SELECT image_id, ch, comp, {Sql.rha('cxf')} AS cx, {Sql.rha('cyf')} AS cy, {Sql.rha('rf')} AS radius, {code('a0')} AS ts, {code('a1')} AS te, force FROM {e} JOIN {f} USING (image_id, ch, comp)")
 
 
 add("fit_arcs", lambda c: gs.fit_arcs(_points(c)), None, CL + " cx cy radius ts te", "force")
 
 
-def _prims_sql(q):
-    n = q.cte(f"SELECT image_id, ch, comp, count(*) * 0.6 * 2.0 + count(*) FILTER (e >= 2) * 0.3 * 8.0 AS saved FROM {_clusters_sql(q)} GROUP BY ALL")
+def _prims_sql(q, clusters=None):
+    n = q.cte(f"SELECT image_id, ch, comp, count(*) * 0.6 * 2.0 + count(*) FILTER (e >= 2) * 0.3 * 8.0 AS saved FROM {clusters or _clusters_sql(q)} GROUP BY ALL")
     lv = "list_extract([1, 2, 3, 5, 8, 13, 21, 34], 1 + (amp_raw > 1.5)::INT + (amp_raw > 2.5)::INT + (amp_raw > 4)::INT + (amp_raw > 6.5)::INT + (amp_raw > 10.5)::INT + (amp_raw > 17)::INT + (amp_raw > 27.5)::INT)"
-    o = q.cte(f"SELECT image_id, ch, comp, {lv} AS amp, least(greatest({Sql.rha('(phase_raw * 128.0 / pi())')}, -128), 127) AS phase FROM {_osc_sql(q)} WHERE amp_raw >= 0.5")
+    o = q.cte(f"SELECT image_id, ch, comp, {lv} AS amp, least(greatest({Sql.rha('(phase_raw * 128.0 / pi())')}, -128), 127) AS phase FROM {_osc_sql(q, clusters)} WHERE amp_raw >= 0.5")
     # A segment costs less, so it always saves more than an arc of the same cluster.
-    s = q.cte(f"SELECT s.*, saved - 88.0 AS profit FROM {_seg_sql(q)} s JOIN {n} USING (image_id, ch, comp) WHERE saved > 88.0")
+    s = q.cte(f"SELECT s.*, saved - 88.0 AS profit FROM {_seg_sql(q, clusters)} s JOIN {n} USING (image_id, ch, comp) WHERE saved > 88.0")
     return q.cte(f"SELECT image_id, ch, comp AS prim_id, 'segment' AS kind, x1, y1, x2, y2, amp, phase, profit FROM {s} JOIN {o} USING (image_id, ch, comp)")
 
 
 add("fit_primitives", lambda c: gs.fit_primitives(_points(c)), None, "image_id ch prim_id x1 y1 x2 y2 amp phase", "profit", "kind")
 
 
+# ---- the same on quantised details, where an image has several components ------
+
+DETAIL = 200.0  # step of the quantised differences
+NEAR, LEAST = 1, 4  # cells that join, points of a cluster
+
+
+def _details(c):
+    """Detail bands of every image: neighbour differences on a quantiser's levels."""
+    from gridloom.functions.quant import deadzone_quantize
+    from gridloom.operators.stencil import forward_difference
+
+    level = lambda v: deadzone_quantize(v, F.lit(DETAIL), F.lit(0.22)) * (DETAIL / 32.0)
+    d = forward_difference(c.plane())
+    return d.select(*PX.split(), level(C("dy")).alias("lh"), level(C("dx")).alias("hl"), level(C("dx") + C("dy")).alias("hh"))
+
+
+def _details_sql(q):
+    level = lambda e: f"{q.deadzone(e, f'{DETAIL}::DOUBLE', '0.22::DOUBLE')} * ({DETAIL}::DOUBLE / 32.0)"
+    return q.cte(f"SELECT {q.PX}, {level('dy')} AS lh, {level('dx')} AS hl, {level('(dx + dy)')} AS hh FROM {q.fdiff(q.plane())}")
+
+
+def _detail_points(c):
+    return cut_lineage(gs.clusters(_details(c), radius=NEAR, least_points=LEAST))
+
+
+def _detail_clusters_sql(q):
+    return _clusters_sql(q, _details_sql(q), NEAR, LEAST)
+
+
+add("detail_clusters", _detail_points, _detail_clusters_sql, PX + " comp i n_points", "e")
+add("detail_oscillation", lambda c: gs.oscillation(_detail_points(c)), lambda q: _osc_sql(q, _detail_clusters_sql(q)), CL, "amp_raw phase_raw")
+add("detail_segments", lambda c: gs.fit_segments(_detail_points(c)), lambda q: _seg_sql(q, _detail_clusters_sql(q)), CL + " x1 y1 x2 y2")
+add("detail_arcs", lambda c: gs.fit_arcs(_detail_points(c)), lambda q: _arc_sql(q, _detail_clusters_sql(q)), CL + " cx cy radius ts te", "force")
+add("detail_primitives", lambda c: gs.fit_primitives(_detail_points(c)), lambda q: _prims_sql(q, _detail_clusters_sql(q)), "image_id ch prim_id x1 y1 x2 y2 amp phase", "profit", "kind")
+
+
 def _line_prims(c):
     """Segments and arcs with coordinates read off orders."""
     o = c.table("orders")

@@ -159,8 +159,10 @@ def fit_segments(points: DataFrame) -> DataFrame:
 def fit_arcs(points: DataFrame) -> DataFrame:
     """Circle through each cluster by centred least squares (>= 5 points).
 
-    The radius satisfies the normal equations, r^2 = a^2 + b^2 + mean(u^2+v^2);
-    the angular extent is the range of atan2 and does not follow a wrap at pi.
+    The radius satisfies the normal equations, r^2 = a^2 + b^2 + mean(u^2+v^2).
+    The arc leaves out the largest gap between neighbouring angles on the circle
+    (the first of equal ones): it begins at ``ts`` (-128 to 128 for a half turn
+    either way) and ends at ``te >= ts``, beyond 128 where it crosses the cut.
     """
     x, y = F.col("x"), F.col("y")
     mid = points.groupBy(*CLUSTER).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.count(F.lit(1)).alias("n")).where("n >= 5")
@@ -179,16 +181,35 @@ def fit_arcs(points: DataFrame) -> DataFrame:
         *CLUSTER, (F.col("a") + F.col("mx")).alias("cxf"), (F.col("b") + F.col("my")).alias("cyf"),
         F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("z")).alias("rf"),
     )
-    ang = F.atan2(y - F.col("cyf"), x - F.col("cxf"))
-    ext = points.join(m, CLUSTER).groupBy(*CLUSTER, "cxf", "cyf", "rf").agg(F.min(ang).alias("a0"), F.max(ang).alias("a1"))
+    ext = _circular_extent(points.join(m, CLUSTER).withColumn("_a", F.round(F.atan2(y - F.col("cyf"), x - F.col("cxf")), 9)), [*CLUSTER, "cxf", "cyf", "rf"])
     med = order_statistic(points, CLUSTER, "e", {"force": 0.5}).drop("n")
-    code = lambda c: clamp(round_half_away(F.col(c) * 128.0 / math.pi), -128.0, 127.0).cast("int")
+    code = lambda c: round_half_away(F.col(c) * 128.0 / math.pi).cast("int")
     whole = lambda c: round_half_away(F.col(c)).cast("long")  # nearly straight clusters have far centres
     return ext.join(med, CLUSTER).select(
         *CLUSTER, whole("cxf").alias("cx"), whole("cyf").alias("cy"), whole("rf").alias("radius"), code("a0").alias("ts"), code("a1").alias("te"), "force",
     )
 
 
+def _circular_extent(points, keys, sectors=4096):
+    """Arc that holds all angles ``_a`` of a group: its first angle a0 and its last one a1 >= a0.
+
+    Angles are met sector by sector, so that no window holds a large cluster:
+    gaps inside a sector are taken there, gaps between sectors from their ends.
+    """
+    sector = F.least(F.floor((F.col("_a") + math.pi) / (2 * math.pi) * sectors), F.lit(sectors - 1))
+    df = points.select(*keys, "_a", sector.alias("_s"))
+    df = df.withColumn("_before", F.lag("_a").over(Window.partitionBy(*keys, "_s").orderBy("_a")))
+    # of equal gaps the one before the smallest angle
+    gap = lambda before: F.struct(F.round(F.col("_a") - before, 9).alias("gap"), (-F.col("_a")).alias("first"), before.alias("last"))
+    inner = F.when(F.col("_before").isNotNull(), gap(F.col("_before")))
+    parts = df.groupBy(*keys, "_s").agg(F.min("_a").alias("_a"), F.max("_a").alias("_hi"), F.max(inner).alias("_in"))
+    w = Window.partitionBy(*keys).orderBy("_s")
+    around = F.last("_hi").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - 2 * math.pi
+    parts = parts.withColumn("_before", F.coalesce(F.lag("_hi").over(w), around))
+    best = parts.withColumn("_g", F.greatest(gap(F.col("_before")), F.coalesce("_in", gap(F.col("_before"))))).groupBy(*keys).agg(F.max("_g").alias("_g"))
+    return best.select(*keys, (-F.col("_g.first")).alias("a0"), (F.col("_g.last") + 2 * math.pi).alias("a1"))
+
+
 def fit_primitives(points: DataFrame) -> DataFrame:
     """Best of segment and arc per cluster by estimated saving; unprofitable ones drop."""
     size = points.groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs("e") >= 2.0).alias("n_large"))

@@ -20,25 +20,18 @@ def ship(spark, tmp_path_factory):
     return folder, rows
 
 
-def whole_sql(name, folder, cuts):
-    """Rows of a query's SQL text without its cuts."""
+def sql_rows(name, folder):
+    """Rows of a query's SQL text."""
     con = duckdb.connect()
     for t in ("lineitem", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
-    sql = base.text(registered()[name])
-    for old, new in cuts:
-        assert old in sql
-        sql = sql.replace(old, new)
-    cur = con.execute(sql)
+    cur = con.execute(base.text(registered()[name]))
     return [d[0] for d in cur.description], sorted(cur.fetchall())
 
 
-@pytest.mark.parametrize("name, cuts", [
-    ("connected_components_ship", [("v > 60", "v > 0")]),
-    ("subtract_rendered", [("abs(dy) > 75", "true"), ("abs(dx) > 75", "true"), ("abs(dx + dy) > 75", "true")]),
-])
-def test_queries_equal_their_sql_without_cuts(spark, ship, name, cuts):
-    names, want = whole_sql(name, ship[0], cuts)
+@pytest.mark.parametrize("name", ["connected_components_ship", "subtract_rendered"])
+def test_queries_equal_their_sql_on_whole_input(spark, ship, name):
+    names, want = sql_rows(name, ship[0])
     got = sorted(tuple(r) for r in base.run(registered()[name], spark, ship[0]).select(*names).collect())
     assert len(got) == len(want) > 100
     assert np.allclose(np.array(got, float), np.array(want, float), atol=2e-6)
