@@ -16,8 +16,6 @@ The lengths let a reader find any range of ids and expand only the symbols that
 cover it.  A document longer than a block makes a longer block.
 """
 
-import itertools
-import re
 import zlib
 
 import numpy as np
@@ -26,56 +24,14 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from gridloom.llm.common import remembered
+from gridloom.llm.encoding import TokenBytes
 
 BLOCK_TOKENS = 1 << 20
 SHARD_BYTES = 24 << 20
-PIECES = 400_000  # pre-tokens remembered by a task; beyond, the memory starts anew
-END = 0
+END = bytes(4)  # id 0
 SCHEMA = "shard int, block int, doc_ids array<long>, counts array<long>, base long, width int, symbols binary, rules binary, lengths binary"
-# Characters on whose classes the libraries' regular expressions surely agree, with their letters and numbers spelled out.
-_LETTER, _NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ‐-‧]*")
-_SPLIT = re.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTER}{_NUMBER}]").replace(r"\p{L}", f"[{_LETTER}]").replace(r"\p{N}", f"[{_NUMBER}]"))
-
-
-def _byte_letters():
-    """The letters that byte-level vocabularies write bytes with: printable Latin-1 as itself, the others from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
-_LETTERS = _byte_letters()
-
-
-class Pieces(dict):
-    """Ids of pre-tokens, encoded by the tokenizers library when first met.
-
-    Byte-level BPE never merges across pre-tokens, so a text's ids are those of
-    its pre-tokens in turn.
-    """
-
-    def __init__(self, path):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, piece):
-        ids = tuple(t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS)))
-        if len(piece) <= 40:
-            self[piece] = ids
-        return ids
-
-    def encode(self, text):
-        text = text or ""
-        if not (text.isascii() and text.isprintable() or _PLAIN.fullmatch(text)):
-            return self.tokenizer.encode(text.encode("utf-8", "replace").decode("utf-8"), add_special_tokens=False).ids
-        if len(self) > PIECES:
-            self.clear()
-        return list(itertools.chain.from_iterable(map(self.__getitem__, _SPLIT.findall(text))))
 
 
 def repair(ids, base, least=8, gain=0.02, rounds=16):
@@ -94,10 +50,19 @@ def repair(ids, base, least=8, gain=0.02, rounds=16):
             break
         span = base + len(rules)
         code = seq[:-1] * span + seq[1:]
-        # pairs of rare hash values are rare: only the others are sorted
-        slot = (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
-        where = np.flatnonzero(np.bincount(slot, minlength=1 << 21)[slot] >= least)
-        pairs, at, count = np.unique(code[where], return_inverse=True, return_counts=True)
+        # pairs are counted in a hash table; of two that meet in a slot the later one waits for the next round's hash
+        odd = np.uint64(0x9E3779B97F4A7C15 + 2 * (len(rules) << 32))
+        slot = (code.view(np.uint64) * odd >> np.uint64(43)).astype(np.int64)
+        holder = np.empty(1 << 21, dtype=np.int64)
+        holder[slot[::-1]] = code[::-1]
+        count = np.bincount(slot[holder[slot] == code], minlength=1 << 21)
+        held = np.flatnonzero(count >= least)
+        pairs, count = holder[held], count[held]
+        number_of = np.full(1 << 21, -1)
+        number_of[held] = np.arange(len(held))
+        at = number_of[slot]
+        where = np.flatnonzero((at >= 0) & (holder[slot] == code))
+        at = at[where]
         order = np.lexsort((pairs, -count))
         order = order[count[order] >= least]
         if not len(order):
@@ -183,19 +148,20 @@ def write_archive(docs: DataFrame, path, tokenizer=None, block_tokens=BLOCK_TOKE
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # numbers beside nulls would come as floats
 
     def blocks(batches):
         shard = TaskContext.get().partitionId()
-        pieces = remembered("pieces", tokenizer, lambda: Pieces(tokenizer))
-        base = pieces.tokenizer.get_vocab_size()
+        encoder = remembered("token_bytes", tokenizer, lambda: TokenBytes(tokenizer))
+        base = encoder.vocabulary
         number, ids, docs_in, counts, size = 0, [], [], [], 0
         for b in batches:
             for d, text in zip(b.doc_id, b.text):
-                own = np.fromiter(pieces.encode(text), dtype=np.int64)
-                ids += [own, np.array([END])]
-                docs_in.append(None if pd.isna(d) else int(d))
-                counts.append(len(own) + 1)
-                size += len(own) + 1
+                own = encoder.encode(text)
+                ids += [own, END]
+                docs_in.append(None if d is None else int(d))
+                counts.append(len(own) // 4 + 1)
+                size += len(own) // 4 + 1
                 if size >= block_tokens:
                     yield _row(shard, number, docs_in, counts, base, ids)
                     number, ids, docs_in, counts, size = number + 1, [], [], [], 0
@@ -206,7 +172,7 @@ def write_archive(docs: DataFrame, path, tokenizer=None, block_tokens=BLOCK_TOKE
 
 
 def _row(shard, number, docs, counts, base, ids):
-    return pd.DataFrame([(shard, number, docs, counts, base, *pack_block(np.concatenate(ids), base))], columns=["shard", "block", "doc_ids", "counts", "base", "width", "symbols", "rules", "lengths"])
+    return pd.DataFrame([(shard, number, docs, counts, base, *pack_block(np.frombuffer(b"".join(ids), dtype="<u4"), base))], columns=["shard", "block", "doc_ids", "counts", "base", "width", "symbols", "rules", "lengths"])
 
 
 def read_archive(spark, path) -> DataFrame:

@@ -38,7 +38,11 @@ class TokenBytes(dict):
         self.vocabulary = self.tokenizer.get_vocab_size()
 
     def __missing__(self, piece):
-        ids = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS)))
+        if piece.isascii() and piece.isprintable():  # of these only the space is written otherwise
+            letters = piece.replace(" ", _LETTERS[32])
+        else:
+            letters = piece.encode().decode("latin-1").translate(_LETTERS)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters)])
         if len(piece) <= 40:
             self[piece] = ids
         return ids

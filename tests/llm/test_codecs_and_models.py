@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gridloom.llm import archive, compression, queries, toxicity, webp
@@ -142,8 +143,7 @@ def test_grammars_expand_to_their_ids():
 
 
 def test_archives_hold_every_document_in_order(spark):
-    tokenizer = archive.Tokenizer.from_file(archive.public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(archive.public_tokenizers.path("byte_bpe_50k.json"))
     texts = ODD + ["It's  12a3 don't\n\n x  \r\n<|endoftext|> __y!!", " lead", "naïve – “q”… ½ ¼a"]
     rows = docs_of(spark, texts).unionByName(frame(spark, [(3, "again", "x", None, None), (None, "no id", "x", None, None)]))
     path = f"{Scratch(spark).folder}/archive"
