@@ -264,8 +264,27 @@ def _codecs_sql(q):
 
 
 add("compare_codecs", lambda c: ql.compare_codecs(simple_points(c), "weighted", "flat"), _codecs_sql, "image_id q", "size_pct psnr_delta", "size_mark psnr_mark")
-add("bd_rate", lambda c: ql.bd_rate(simple_points(c), "weighted", "flat"), None, "image_id", "bd_rate")
-add("bd_summary", lambda c: ql.bd_summary(ql.bd_rate(simple_points(c), "weighted", "flat")), None, "wins n n_undefined", "avg_bd_rate")
+
+
+def bd_sql(q, pairs):
+    """Cubics by orthogonal polynomials over the points of each curve; Simpson's rule is exact for them."""
+    s = q.cte(f"SELECT image_id, greatest(min(psnr_a), min(psnr_b)) AS lo, least(max(psnr_a), max(psnr_b)) AS hi, min(least(bpp_a, bpp_b)) AS low FROM {pairs} GROUP BY image_id")
+    c = q.cte(f"SELECT image_id, k, lo, hi, CASE WHEN k = 'a' THEN psnr_a ELSE psnr_b END AS x, ln(CASE WHEN k = 'a' THEN bpp_a ELSE bpp_b END) AS y FROM {pairs} JOIN {s} USING (image_id), (VALUES ('a'), ('b')) AS v(k) WHERE hi > lo AND low > 0")
+    w = "OVER (PARTITION BY image_id, k)"
+    a = q.cte(f"SELECT *, x - a0 AS q1 FROM (SELECT *, count(*) {w} AS n, avg(x) {w} AS a0, avg(y) {w} AS c0 FROM {c})")
+    a = q.cte(f"SELECT *, (x - a1) * q1 - s1 / n AS q2 FROM (SELECT *, sum(q1 * q1) {w} AS s1, sum(x * q1 * q1) {w} / sum(q1 * q1) {w} AS a1, sum(y * q1) {w} / sum(q1 * q1) {w} AS c1 FROM {a})")
+    a = q.cte(f"SELECT *, (x - a2) * q2 - s2 / s1 * q1 AS q3 FROM (SELECT *, sum(q2 * q2) {w} AS s2, sum(x * q2 * q2) {w} / sum(q2 * q2) {w} AS a2, sum(y * q2) {w} / sum(q2 * q2) {w} AS c2 FROM {a})")
+    f = q.cte(f"SELECT image_id, k, count(DISTINCT x) AS d, any_value(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi, any_value(a0) AS a0, any_value(a1) AS a1, any_value(a2) AS a2, any_value(s1) AS s1, any_value(s2) AS s2, "
+              f"any_value(c0) AS c0, any_value(c1) AS c1, any_value(c2) AS c2, sum(y * q3) / sum(q3 * q3) AS c3 FROM {a} GROUP BY ALL")
+    e = q.cte(f"SELECT *, t - a0 AS p1, (t - a1) * (t - a0) - s1 / n AS p2 FROM {f}, (VALUES (0.0::DOUBLE, 1), (0.5::DOUBLE, 4), (1.0::DOUBLE, 1)) AS g(r, wt), LATERAL (SELECT lo + (hi - lo) * r AS t)")
+    m = q.cte(f"SELECT image_id, k, min(d) AS d, sum(wt * (c0 + c1 * p1 + c2 * p2 + c3 * ((t - a2) * p2 - s2 / s1 * p1))) / 6.0 AS mean FROM {e} GROUP BY ALL")
+    r = q.cte(f"SELECT image_id, CASE WHEN min(d) >= 4 THEN (exp(max(mean) FILTER (k = 'a') - max(mean) FILTER (k = 'b')) - 1.0) * 100.0 END AS bd_rate FROM {m} GROUP BY image_id")
+    return q.cte(f"SELECT image_id, bd_rate FROM {s} LEFT JOIN {r} USING (image_id)")
+
+
+add("bd_rate", lambda c: ql.bd_rate(simple_points(c), "weighted", "flat"), lambda q: bd_sql(q, _pairs_sql(q)), "image_id", "bd_rate")
+add("bd_summary", lambda c: ql.bd_summary(ql.bd_rate(simple_points(c), "weighted", "flat")),
+    lambda q: q.cte(f"SELECT avg(bd_rate) AS avg_bd_rate, count(*) FILTER (bd_rate < 0) AS wins, count(bd_rate) AS n, count(*) - count(bd_rate) AS n_undefined FROM {bd_sql(q, _pairs_sql(q))}"), "wins n n_undefined", "avg_bd_rate")
 add("operating_point", lambda c: ql.operating_point(simple_points(c), 50.0),
     lambda q: q.cte(
         f"SELECT image_id, codec, q, bpp, psnr, j FROM (SELECT *, row_number() OVER (PARTITION BY image_id, codec ORDER BY j, q) AS rn FROM (SELECT *, 65025.0 / power(10.0, psnr / 10.0) + 50.0 * bpp AS j FROM {simple_points_sql(q)})) WHERE rn = 1"),

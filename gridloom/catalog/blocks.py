@@ -201,7 +201,16 @@ def _rd_sql(q, qualities=QUALITIES):
 
 
 add("rd_points", lambda c: rd_points(c.plane()), _rd_sql, "image_id q", "bpp psnr", "codec", digits=5)
-add("rd_bd_rate", lambda c: ql.bd_rate(rd_points(c.plane()), "weighted", "flat"), None, "image_id", "bd_rate")
+
+
+def _rd_bd_sql(q):
+    from gridloom.catalog.aggregates import bd_sql
+
+    s = _rd_sql(q)
+    return bd_sql(q, q.cte(f"SELECT a.image_id, a.q, a.bpp AS bpp_a, a.psnr AS psnr_a, b.bpp AS bpp_b, b.psnr AS psnr_b FROM {s} a JOIN {s} b USING (image_id, q) WHERE a.codec = 'weighted' AND b.codec = 'flat'"))
+
+
+add("rd_bd_rate", lambda c: ql.bd_rate(rd_points(c.plane()), "weighted", "flat"), _rd_bd_sql, "image_id", "bd_rate", digits=4)
 
 
 def _choice(c):

@@ -294,8 +294,35 @@ add("match_primitives", lambda c: gs.match_primitives(_near_prims(c), cut_lineag
     "image_id ch prim_id comp delta_y delta_x delta_angle delta_amp", "dist", "match")
 
 # ---- patches ---------------------------------------------------------------
-add("fit_patches", lambda c: pt.fit_patches(c.ship(), 30.0), None, "image_id ch x0 y0 pw ph", "rmse a00 a10 a01 a11 a20 a02")
-add("render_patches", lambda c: pt.render_patches(pt.fit_patches(c.ship(), 30.0)), None, PX, "v")
+def _tile_fits(q, px):
+    """Fits of tiles by the orthogonal basis of a whole grid: 1, f, g, fg, f2, g2 (centred coordinates and centred squares)."""
+    p = "image_id, ch, x0, y0, pw, ph"
+    c = q.cte(f"SELECT *, px / (pw - 1.0::DOUBLE) - 0.5 AS f, py / (ph - 1.0::DOUBLE) - 0.5 AS g, (pw + 1) / (12.0::DOUBLE * (pw - 1)) AS fm, (ph + 1) / (12.0::DOUBLE * (ph - 1)) AS gm FROM {px}")
+    c = q.cte(f"SELECT *, f * f - fm AS f2, g * g - gm AS g2 FROM {c}")
+    on = lambda e: f"sum(v * {e}) / sum({e} * {e})"
+    k = q.cte(f"SELECT {p}, any_value(fm) AS fm, any_value(gm) AS gm, avg(v) AS c0, {on('f')} AS cf, {on('g')} AS cg, {on('(f * g)')} AS cfg, {on('f2')} AS cf2, {on('g2')} AS cg2 FROM {c} GROUP BY {p}")
+    r = q.cte(f"SELECT {p}, sqrt(avg(power(v - (c0 + cf * f + cg * g + cfg * f * g + cf2 * f2 + cg2 * g2), 2))) AS rmse FROM {c} JOIN {k} USING ({p}) GROUP BY {p}")
+    return q.cte(
+        f"SELECT {p}, rmse, c0 - cf / 2 - cg / 2 + cfg / 4 + cf2 * (0.25 - fm) + cg2 * (0.25 - gm) AS a00, cf - cf2 - cfg / 2 AS a10, cg - cg2 - cfg / 2 AS a01, cfg AS a11, cf2 AS a20, cg2 AS a02 FROM {k} JOIN {r} USING ({p})")
+
+
+def _patches_sql(q, step=30.0):
+    s = q.ship()
+    px = q.cte(f"SELECT image_id, ch, v, x // 16 * 16 AS x0, y // 16 * 16 AS y0, least(16, w - x // 16 * 16) AS pw, least(16, h - y // 16 * 16) AS ph, x % 16 AS px, y % 16 AS py FROM {s} JOIN {q.extent(s)} USING (image_id, ch)")
+    whole = _tile_fits(q, px)
+    split = f"rmse > {step / 2} AND pw >= 8 AND ph >= 8"
+    parts = q.cte(
+        f"SELECT image_id, ch, v, x0 + r * (pw // 2) AS x0, y0 + l * (ph // 2) AS y0, CASE r WHEN 1 THEN pw - pw // 2 ELSE pw // 2 END AS pw, CASE l WHEN 1 THEN ph - ph // 2 ELSE ph // 2 END AS ph, px - r * (pw // 2) AS px, py - l * (ph // 2) AS py "
+        f"FROM (SELECT p.*, (px >= pw // 2)::INT AS r, (py >= ph // 2)::INT AS l FROM {px} p SEMI JOIN (SELECT * FROM {whole} WHERE {split}) t USING (image_id, ch, x0, y0))")
+    return q.cte(f"SELECT * FROM {whole} WHERE NOT ({split}) UNION ALL SELECT * FROM {_tile_fits(q, parts)}")
+
+
+add("fit_patches", lambda c: pt.fit_patches(c.ship(), 30.0), _patches_sql, "image_id ch x0 y0 pw ph", "rmse a00 a10 a01 a11 a20 a02", digits=8)
+add("render_patches", lambda c: pt.render_patches(pt.fit_patches(c.ship(), 30.0)),
+    lambda q: q.cte(
+        "SELECT image_id, ch, y0 + py AS y, x0 + px AS x, a00 + a10 * f + a01 * g + a11 * f * g + a20 * f * f + a02 * g * g AS v FROM "
+        f"(SELECT *, CASE WHEN pw > 1 THEN px / (pw - 1.0::DOUBLE) ELSE 0.0 END AS f, CASE WHEN ph > 1 THEN py / (ph - 1.0::DOUBLE) ELSE 0.0 END AS g FROM (SELECT *, unnest(range(pw)) AS px FROM (SELECT *, unnest(range(ph)) AS py FROM {_patches_sql(q)})))"),
+    PX, "v", digits=8)
 
 # ---- augmentation ----------------------------------------------------------
 

@@ -87,25 +87,6 @@ def wiener_columns(re: pd.Series, im: pd.Series, size: pd.Series, noise: pd.Seri
     return pd.DataFrame({"re": out_re, "im": out_im})
 
 
-def _bd_rate(rate_a, psnr_a, rate_b, psnr_b):
-    """Mean rate difference in % over the common quality interval; NaN if undefined."""
-    if len(psnr_a) < 4 or len(psnr_b) < 4:
-        return float("nan")
-    lo, hi = max(min(psnr_a), min(psnr_b)), min(max(psnr_a), max(psnr_b))
-    if hi <= lo:
-        return float("nan")
-    area = []
-    for r, p in ((rate_a, psnr_a), (rate_b, psnr_b)):
-        antiderivative = np.polyint(np.polyfit(p, np.log(r), 3))
-        area.append(np.polyval(antiderivative, hi) - np.polyval(antiderivative, lo))
-    return (np.exp((area[0] - area[1]) / (hi - lo)) - 1.0) * 100.0
-
-
-@F.pandas_udf(T.DoubleType())
-def bd_rate(ra: pd.Series, pa: pd.Series, rb: pd.Series, pb: pd.Series) -> pd.Series:
-    return pd.Series([_bd_rate(*map(np.asarray, q)) for q in zip(ra, pa, rb, pb)], dtype="float64")
-
-
 def _u8_pixels(data, height, width, channels):
     """Row-major RGB bytes from the reader's BGR(A) or grey payload."""
     img = np.frombuffer(data, np.uint8).reshape(height, width, channels)

@@ -1,38 +1,15 @@
 """Bi-quadratic surface patches on 16x16 tiles."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.kernels import DOUBLES
+from gridloom.functions.linear import normal_equations, solve
 from gridloom.tiling import KEYS, with_extent
 
 PATCH = [*KEYS, "x0", "y0", "pw", "ph"]
 NAMES = ("a00", "a10", "a01", "a11", "a20", "a02")
 
 
-def _unit(n):
-    return np.arange(n) / (n - 1) if n > 1 else np.zeros(n)
-
-
-def _fit_matrix(pw, ph):
-    """Least-squares matrix of one patch size: coefficients = matrix @ values."""
-    dx, dy = np.meshgrid(_unit(pw), _unit(ph))
-    a = np.stack([np.ones_like(dx), dx, dy, dx * dy, dx * dx, dy * dy], axis=-1).reshape(-1, 6)
-    return np.linalg.pinv(a)
-
-
-@F.pandas_udf(DOUBLES)
-def _fit(vals: pd.Series, pw: pd.Series, ph: pd.Series) -> pd.Series:
-    table, out = {}, []
-    for v, w, h in zip(vals, pw, ph):
-        if (w, h) not in table:
-            table[w, h] = _fit_matrix(int(w), int(h))
-        out.append(table[w, h] @ v)
-    return pd.Series(out)
-
-
 def _basis():
     t = lambda p, n: F.when(F.col(n) > 1, F.col(p) / F.greatest(F.col(n) - 1, F.lit(1))).otherwise(0.0)
     dx, dy = t("px", "pw"), t("py", "ph")
@@ -44,15 +21,14 @@ def _evaluate():
 
 
 def _fit_tiles(px: DataFrame) -> DataFrame:
-    """Coefficients and RMSE of each patch; a patch has at most 256 pixels."""
-    cell = F.struct((F.col("py") * F.col("pw") + F.col("px")).alias("i"), F.col("v"))
-    packed = px.groupBy(*PATCH).agg(F.sort_array(F.collect_list(cell)).alias("s"))
-    fit = packed.select(*PATCH, _fit(F.col("s.v"), "pw", "ph").alias("coef"), "s")
-    cells = fit.select(*PATCH, "coef", F.explode("s").alias("c")).withColumns({
-        "px": F.col("c.i") % F.col("pw"), "py": F.floor(F.col("c.i") / F.col("pw")), "v": F.col("c.v"),
-    })
+    """Coefficients and RMSE of each patch, from the normal equations of its pixels.
+
+    On patches of one or two pixels a side the terms that others already express are 0.
+    """
+    sums, matrix = normal_equations(_basis(), F.col("v"))
+    fit = px.groupBy(*PATCH).agg(*[s.alias(k) for k, s in sums.items()]).select(*PATCH, solve(matrix, 6).alias("coef"))
     err = F.col("v") - _evaluate()
-    return cells.groupBy(*PATCH, "coef").agg(F.sqrt(F.avg(err * err)).alias("rmse"))
+    return px.join(fit, PATCH).groupBy(*PATCH).agg(F.first("coef").alias("coef"), F.sqrt(F.avg(err * err)).alias("rmse"))
 
 
 def fit_patches(plane: DataFrame, step: float, base=16, value="v") -> DataFrame:

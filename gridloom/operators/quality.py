@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.quant import rate_bits
-from gridloom.kernels import bd_rate as _bd_rate
+from gridloom.functions.linear import normal_equations, solve
 from gridloom.tiling import columns, KEYS, rows, at, owned, tiled
 
 IMAGE = list(KEYS)
@@ -110,15 +110,45 @@ def compare_codecs(points: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def _cubic_means(curves: DataFrame, keys) -> DataFrame:
+    """Mean over [lo, hi] of the least-squares cubic through each curve's points (x, y): keys, n, mean.
+
+    x is centred and scaled before the moments are taken; Simpson's rule
+    integrates a cubic exactly.
+    """
+    spread = curves.groupBy(*keys).agg(F.avg("x").alias("_mid"), ((F.max("x") - F.min("x")) / 2.0).alias("_half"))
+    t = lambda x: (x - F.col("_mid")) / F.when(F.col("_half") > 0, F.col("_half")).otherwise(1.0)
+    z = t(F.col("x"))
+    sums, matrix = normal_equations([F.lit(1.0), z, z * z, z * z * z], F.col("y"))
+    fit = curves.join(spread, keys).groupBy(*keys, "_mid", "_half", "lo", "hi").agg(F.countDistinct("x").alias("n"), *[s.alias(k) for k, s in sums.items()])
+    fit = fit.withColumn("_c", solve(matrix, 4))
+
+    def at(x):
+        v = t(x)
+        return F.get("_c", 0) + v * (F.get("_c", 1) + v * (F.get("_c", 2) + v * F.get("_c", 3)))
+
+    return fit.select(*keys, "n", ((at(F.col("lo")) + 4.0 * at((F.col("lo") + F.col("hi")) / 2.0) + at(F.col("hi"))) / 6.0).alias("mean"))
+
+
 def bd_rate(points: DataFrame, a: str, b: str) -> DataFrame:
     """Mean rate difference of codec a against b per image, in percent.
 
-    A group holds one row per quality setting, so its arrays are short.
+    Log rate is fitted as a cubic in quality; the difference is averaged over
+    the common quality interval.  Null where a curve has fewer than four
+    different qualities, has a zero rate, or no interval is common.
     """
-    df = pair_codecs(points, a, b).groupBy("image_id").agg(
-        F.sort_array(F.collect_list(F.struct("q", "bpp_a", "psnr_a", "bpp_b", "psnr_b"))).alias("s")
-    )
-    return df.select("image_id", _bd_rate("s.bpp_a", "s.psnr_a", "s.bpp_b", "s.psnr_b").alias("bd_rate"))
+    df = pair_codecs(points, a, b)
+    span = df.groupBy("image_id").agg(
+        F.greatest(F.min("psnr_a"), F.min("psnr_b")).alias("lo"), F.least(F.max("psnr_a"), F.max("psnr_b")).alias("hi"),
+        F.min(F.least("bpp_a", "bpp_b")).alias("_least"))
+    defined = span.where((F.col("hi") > F.col("lo")) & (F.col("_least") > 0)).drop("_least")
+    long = df.join(defined, "image_id").select(
+        "image_id", "lo", "hi", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"psnr_{k}").alias("x"), F.log(f"bpp_{k}").alias("y")) for k in "ab"])).alias("p"))
+    means = _cubic_means(long.select("image_id", "lo", "hi", "p.*"), ["image_id", "k"])
+    one = means.groupBy("image_id").agg(
+        F.min("n").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("mean"))).alias(f"_{k}") for k in "ab"])
+    rate = F.when(F.col("n") >= 4, (F.exp(F.col("_a") - F.col("_b")) - 1.0) * 100.0)
+    return span.select("image_id").join(one.select("image_id", rate.alias("bd_rate")), "image_id", "left")
 
 
 def bd_summary(rates: DataFrame) -> DataFrame:
@@ -127,7 +157,7 @@ def bd_summary(rates: DataFrame) -> DataFrame:
     A rate is undefined under four points, without a common quality interval, or
     where a curve has a zero rate.
     """
-    there = ~F.isnan("bd_rate")
+    there = F.col("bd_rate").isNotNull()
     return rates.agg(
         F.avg(F.when(there, F.col("bd_rate"))).alias("avg_bd_rate"), F.count_if(there & (F.col("bd_rate") < 0)).alias("wins"),
         F.count_if(there).alias("n"), F.count_if(~there).alias("n_undefined"),

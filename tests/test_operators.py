@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import color, quant
-from gridloom.kernels import _bd_rate
 from gridloom.operators import blocks as bl
 from gridloom.operators import filters as fl
 from gridloom.operators import patches as pt
@@ -196,9 +195,41 @@ def test_wiener_matches_fft(plane_of, array_of):
     np.testing.assert_allclose(array_of(fl.wiener_denoise(plane_of(NOISE), 30.0), "out"), want, atol=1e-8)
 
 
-def test_bd_rate_of_a_scaled_curve():
-    rate, psnr = np.array([0.2, 0.5, 1.0, 2.0, 3.0]), np.array([28.0, 32, 36, 40, 42])
-    assert abs(_bd_rate(rate * 0.9, psnr, rate, psnr) + 10.0) < 1e-6
+def test_bd_rate_equals_polynomial_fits(spark):
+    """A scaled curve, random curves against numpy, and curves without a rate."""
+    rng, rows, want = np.random.default_rng(2), [], {}
+    for i in range(12):
+        n = 5 if i == 0 else int(rng.integers(4, 9))
+        ra, rb = np.sort(rng.uniform(0.1, 4, (2, n)), axis=1)
+        pa, pb = np.sort(rng.uniform(25, 45, (2, n)), axis=1)
+        if i == 0:
+            rb, pb = ra / 0.9, pa
+        lo, hi = max(pa.min(), pb.min()), min(pa.max(), pb.max())
+        area = [np.diff(np.polyval(np.polyint(np.polyfit(p, np.log(r), 3)), [lo, hi]))[0] for r, p in ((ra, pa), (rb, pb))]
+        want[i] = (np.exp((area[0] - area[1]) / (hi - lo)) - 1) * 100 if hi > lo else None
+        rows += [(i, q, c, float(r[q]), float(p[q])) for c, r, p in (("a", ra, pa), ("b", rb, pb)) for q in range(n)]
+    rows += [(90, q, c, 1.0 + q, 30.0 + q) for c in "ab" for q in range(3)]  # three points
+    rows += [(91, q, c, 1.0 + q, 30.0 + q // 4) for c in "ab" for q in range(8)]  # two qualities
+    rows += [(92, q, c, 1.0 + q, 30.0 + q + 20 * (c == "b")) for c in "ab" for q in range(8)]  # nothing in common
+    rows += [(93, q, c, 0.0 + q, 30.0 + q) for c in "ab" for q in range(8)]  # a zero rate
+    got = {r.image_id: r.bd_rate for r in ql.bd_rate(spark.createDataFrame(rows, "image_id long, q int, codec string, bpp double, psnr double"), "a", "b").collect()}
+    assert abs(got[0] + 10.0) < 1e-6 and all(got[i] is None for i in (90, 91, 92, 93))
+    assert all(got[i] is None if v is None else abs(got[i] - v) < 1e-6 * max(1, abs(v)) for i, v in want.items())
+
+
+def test_small_systems_are_solved_with_pivots(spark):
+    from gridloom.functions.linear import solve
+
+    rng, rows = np.random.default_rng(5), []
+    for k in range(30):
+        b = rng.normal(size=(9, 4)) * 10.0 ** rng.integers(-3, 4)
+        rows.append((k, np.column_stack([b.T @ b, rng.normal(size=4)])[rng.permutation(4)]))
+    df = spark.createDataFrame([(k, m.tolist()) for k, m in rows], "k int, m array<array<double>>")
+    got = {r.k: r.x for r in df.select("k", solve(F.col("m"), 4).alias("x")).collect()}
+    for k, m in rows:
+        np.testing.assert_allclose(got[k], np.linalg.solve(m[:, :4], m[:, 4]), rtol=1e-6)
+    flat = spark.createDataFrame([([[2.0, 0.0, 4.0], [0.0, 0.0, 0.0]],)], "m array<array<double>>")
+    assert flat.select(solve(F.col("m"), 2).alias("x")).first().x == [2.0, 0.0]
 
 
 def test_coefficient_choice_limits(spark):
