@@ -31,6 +31,7 @@ from gridloom.llm.encoding import TokenBytes
 BLOCK_TOKENS = 1 << 20
 SHARD_BYTES = 24 << 20
 END = bytes(4)  # id 0
+SLOT_BITS = 19  # of the table that counts pairs: small enough for a core's cache
 SCHEMA = "shard int, block int, doc_ids array<long>, counts array<long>, base long, width int, symbols binary, rules binary, lengths binary"
 
 
@@ -52,13 +53,13 @@ def repair(ids, base, least=8, gain=0.02, rounds=16):
         code = seq[:-1] * span + seq[1:]
         # pairs are counted in a hash table; of two that meet in a slot the later one waits for the next round's hash
         odd = np.uint64(0x9E3779B97F4A7C15 + 2 * (len(rules) << 32))
-        slot = (code.view(np.uint64) * odd >> np.uint64(43)).astype(np.int64)
-        holder = np.empty(1 << 21, dtype=np.int64)
+        slot = (code.view(np.uint64) * odd >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        holder = np.empty(1 << SLOT_BITS, dtype=np.int64)
         holder[slot[::-1]] = code[::-1]
-        count = np.bincount(slot[holder[slot] == code], minlength=1 << 21)
+        count = np.bincount(slot[holder[slot] == code], minlength=1 << SLOT_BITS)
         held = np.flatnonzero(count >= least)
         pairs, count = holder[held], count[held]
-        number_of = np.full(1 << 21, -1)
+        number_of = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
         number_of[held] = np.arange(len(held))
         at = number_of[slot]
         where = np.flatnonzero((at >= 0) & (holder[slot] == code))
