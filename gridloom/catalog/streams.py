@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog.base import add
 from gridloom.streaming import profiles as pr
-from gridloom.streaming.replay import run_available, run_closed, stream_table
+from gridloom.streaming import stateful as sf
+from gridloom.streaming.replay import run_available, run_closed, run_files, stream_table
 
 C = F.col
 LANES = 8
@@ -29,11 +30,36 @@ def _profile_sql(q):
     return q.cte(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, lane ORDER BY n DESC) AS k FROM {f}) WHERE k = 1")
 
 
-add("stream_adaptive_profile", lambda c: run_available(pr.adaptive_profile(_keyed(c))), _profile_sql, "user_id lane n energy run p_zero p_pm1", "bits")
+add("stream_adaptive_profile", lambda c: sf.last_profiles(run_available(pr.adaptive_profile(_keyed(c)))), _profile_sql, "user_id lane n energy run p_zero p_pm1", "bits")
 add("stream_keyed_delta", lambda c: run_available(pr.keyed_delta(_keyed(c))),
     lambda q: q.cte(f"SELECT user_id, lane, pos, sym - coalesce(lag(sym) OVER (PARTITION BY user_id, lane ORDER BY pos), 0) AS delta FROM ({SYM})"), "user_id lane pos delta")
 
 
+def _disordered(c, files=4, hours=5):
+    """Events in files that overlap by some hours, so that rows come out of order; a row past all closes the replay."""
+    e = c.table("events").withColumns({"pos": C("event_id"), "sym": (F.floor("value") % 7 - 3).cast("long"), "ts": C("ts").cast("timestamp")})
+    e = pr.with_lane(e, "event_id", 1).select("user_id", "lane", "ts", "pos", "sym")
+    hour = (F.unix_timestamp("ts") / 3600 + F.pmod(F.hash("pos"), F.lit(hours))).cast("long")
+    lo, hi = e.agg(F.min(hour), F.max(hour)).first()
+    part = F.least(F.floor((hour - lo) * files / (hi - lo + 1)), F.lit(files - 1))
+    close = c.spark.range(1).select(*[F.lit("2200-01-01 00:00:00" if f.name == "ts" else None).cast(f.dataType).alias(f.name) for f in e.schema])
+    return [e.where(part == k) for k in range(files)] + [close]
+
+
+def _ordered_sql(q):
+    s = q.cte("SELECT user_id, 0 AS lane, floor(value)::BIGINT % 7 - 3 AS sym, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events")
+    f = q.cte(f"SELECT user_id, lane, list({{'sym': sym, 'n': 0::BIGINT, 'energy': 0::BIGINT, 'run': 0::BIGINT, 'p_zero': 0::BIGINT, 'p_pm1': 0::BIGINT, 'bits': 0.0::DOUBLE}} ORDER BY rn) AS l FROM {s} GROUP BY ALL")
+    r = q.cte(
+        f"SELECT user_id, lane, list_reduce(l, lambda r, x: {{'sym': 0::BIGINT, 'n': r.n + 1, 'energy': (218 * r.energy + 38 * least(abs(x.sym) * 32, 256)) // 256, 'run': CASE WHEN x.sym = 0 THEN r.run + 1 ELSE 0 END, "
+        f"'p_zero': CASE WHEN x.sym = 0 THEN r.p_zero + (16384 - r.p_zero) // 16 ELSE r.p_zero - r.p_zero // 16 END, 'p_pm1': CASE WHEN x.sym = 0 THEN r.p_pm1 WHEN abs(x.sym) = 1 THEN r.p_pm1 + (16384 - r.p_pm1) // 16 ELSE r.p_pm1 - r.p_pm1 // 16 END, "
+        f"'bits': r.bits - log2(least(greatest(CASE WHEN x.sym = 0 THEN r.p_zero ELSE 16384 - r.p_zero END, 1), 16383) / 16384.0::DOUBLE)}}, "
+        f"{{'sym': 0::BIGINT, 'n': 0::BIGINT, 'energy': 0::BIGINT, 'run': 0::BIGINT, 'p_zero': 14000::BIGINT, 'p_pm1': 12000::BIGINT, 'bits': 0.0::DOUBLE}}) AS r FROM {f}")
+    return q.cte(f"SELECT user_id, lane, r.n AS n, r.energy AS energy, r.run AS run, r.p_zero AS p_zero, r.p_pm1 AS p_pm1, r.bits AS bits FROM {r}")
+
+
+add("stream_ordered_profile", lambda c: sf.last_profiles(run_files(_disordered(c), sf.ordered_profile)), _ordered_sql, "user_id lane n energy run p_zero p_pm1", "bits")
+
+
 def _epoch(df):
     return df.withColumns({"start": F.unix_timestamp("start"), "end": F.unix_timestamp("end")})
 

@@ -11,6 +11,22 @@ from gridloom.session import _checkpoint_dir_set
 END = "9000-01-01 00:00:00"  # past every event
 
 
+def run_files(parts, make) -> DataFrame:
+    """Replay tables one after the other, one a micro-batch, into a single result.
+
+    ``parts`` are frames of one schema, in order of arrival; ``make`` maps their
+    stream to the result.
+    """
+    spark, root = parts[0].sparkSession, _root(parts[0].sparkSession)
+    spark.createDataFrame([], parts[0].schema).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(parts[0].schema).parquet(f"{root}/in")
+    result = make(stream)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        out = _run(result, root)
+    return out
+
+
 def stream_table(spark, folder: str, name: str) -> DataFrame:
     """A table's parquet files as a file stream."""
     path = os.path.join(folder, f"{name}.parquet")
