@@ -249,3 +249,9 @@ def test_batches_hold_the_budget_and_every_row(spark):
         sizes = [len(v) for (b, _), v in sorted(batches.items()) if b == bucket]
         assert len(set(sizes[:-1])) <= 1 and sorted(n for b, n in batches if b == bucket) == list(range(len(sizes)))
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_a_clashing_column_does_not_disturb_the_near_duplicate_filter(spark):
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, text, "a", 5), (2, text, "b", 6), (3, "something else altogether here now", "c", 7)], "doc_id long, text string, _kept string, kept int")
+    assert sorted((r.doc_id, r["_kept"], r.kept) for r in dedup.drop_near_duplicates(df).collect()) == [(1, "a", 5), (3, "c", 7)]
