@@ -6,7 +6,7 @@ from the labelled rows among the documents that reach them.
 """
 
 from gridloom.llm import compression, dedup, packing, toxicity
-from gridloom.llm.common import table
+from gridloom.llm.common import Scratch, table
 
 
 def good_quality(spark, docs, sf_dir):
@@ -34,8 +34,8 @@ ORACLE_SQL = None  # classifiers, sketches and the dynamic program are tested ag
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; what a stage keeps is written and reread, so its scores are computed once."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
