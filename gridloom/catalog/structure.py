@@ -368,7 +368,20 @@ def _shift_sql(q):
 
 
 add("shift_rows", lambda c: au.shift_rows(c.pixels(), 1.0, 7), _shift_sql, "image_id y x r g b")
-add("shift_plane", lambda c: au.shift_plane(c.activity(), 1.0, 3), None, PX, "v")
+
+
+def _shift_plane_sql(q):
+    """Bands as for pixels, on the extent of the plane: a tenth as many as it has rows, shifted by up to a tenth of its width."""
+    a = q.activity()
+    i = ("image_id", "item")
+    b = q.cte(f"SELECT *, unnest(range(1, n + 1)) AS item FROM (SELECT image_id, h, w, greatest(round(h * 0.1::DOUBLE), 1)::BIGINT AS n, floor(w * 0.1::DOUBLE)::BIGINT AS reach FROM {q.extent(a)})")
+    b = q.cte(f"SELECT *, {below_sql('h', 3, 50, *i)} AS y0, {below_sql('2 * reach + 1', 3, 52, *i)} - reach AS shift FROM {b}")
+    b = q.cte(f"SELECT image_id, shift, unnest(range(y0, least(y0 + 2 + {below_sql(8, 3, 51, *i)}, h))) AS y FROM {b}")
+    s = q.cte(f"SELECT image_id, y, sum(shift)::BIGINT AS s FROM {b} GROUP BY ALL")
+    return q.cte(f"SELECT image_id, ch, y, ((x + coalesce(s, 0)) % w + w) % w AS x, v FROM {a} JOIN {q.extent(a)} USING (image_id, ch) LEFT JOIN {s} USING (image_id, y)")
+
+
+add("shift_plane", lambda c: au.shift_plane(c.activity(), 1.0, 3), _shift_plane_sql, PX, "v")
 
 
 def _rects_of(q, seed, stream, n, wide, high):
@@ -376,7 +389,8 @@ def _rects_of(q, seed, stream, n, wide, high):
     i = ("image_id", "item")
     b = q.cte(f"SELECT *, {below_sql(40, seed, stream, *i)} AS x0, {below_sql(32, seed, stream + 1, *i)} AS y0 FROM {b}")
     b = q.cte(f"SELECT *, least(x0 + {wide[0]} + {below_sql(wide[1], seed, stream + 2, *i)}, 40) AS x1, least(y0 + {high[0]} + {below_sql(high[1], seed, stream + 3, *i)}, 32) AS y1 FROM {b}")
-    return q.cte(f"SELECT p.image_id, y, x, r, g, b, item FROM {q.pixels()} p JOIN {b} z ON z.image_id = p.image_id AND y >= y0 AND y < y1 AND x >= x0 AND x < x1")
+    cells = q.cte(f"SELECT image_id, item, y, unnest(range(x0, x1)) AS x FROM (SELECT *, unnest(range(y0, y1)) AS y FROM {b})")
+    return q.cte(f"SELECT image_id, y, x, r, g, b, item FROM {q.pixels()} JOIN {cells} USING (image_id, y, x)")
 
 
 def _paint_sql(q, painted):
