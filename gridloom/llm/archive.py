@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import remembered
+from gridloom.llm.common import Scratch, remembered
 from gridloom.llm.encoding import TokenBytes
 
 BLOCK_TOKENS = 1 << 20
@@ -195,6 +195,7 @@ def _decoded(spark, path, use, kind, name):
     first = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
     inside = sizes.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("block_start"))
     starts = inside.join(first, "shard").select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("start"))
+    starts = Scratch(spark).write(starts)  # of known size, so that a small one is sent to the blocks and not they to it
 
     def read(batches):
         for b in batches:
