@@ -170,6 +170,19 @@ add("difference_report", lambda c: ql.difference_report(c.rgb_pairs()), _diff_sq
 add("pixel_pairs", lambda c: ql.pair(c.plane().select(*PX.split(), "v"), c.plane().select(*PX.split(), (8.0 * F.floor(C("v") / 8 + 0.5)).alias("v"))), lambda q: q.pairs(), PX, "v_orig v_dec")
 
 
+def _bucketed_pairs(c, buckets=8):
+    """Original and rounded planes from tables bucketed by image row: no exchange in the join."""
+    from gridloom.sources.buckets import write_bucketed
+
+    plane = c.plane().select(*PX.split(), "v")
+    a = write_bucketed(plane, ["image_id", "ch", "y"], buckets, ["x"])
+    b = write_bucketed(plane.withColumn("v", 8.0 * F.floor(C("v") / 8 + 0.5)), ["image_id", "ch", "y"], buckets, ["x"])
+    return ql.pair(a, b)
+
+
+add("pixel_pairs_bucketed", _bucketed_pairs, lambda q: q.pairs(), PX, "v_orig v_dec")
+
+
 def _size(c):
     d = c.table("documents").groupBy("source").agg(F.sum("n_chars").alias("bytes"), F.count(F.lit(1)).alias("h"))
     return d.select("source", ql.bits_per_pixel(C("bytes"), C("h"), F.lit(640)).alias("bpp"), ql.compression_ratio(C("bytes"), C("h"), F.lit(640)).alias("ratio"))

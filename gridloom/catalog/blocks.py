@@ -255,6 +255,17 @@ def _cfl_sql(q):
 add("channel_prediction", lambda c: bl.channel_prediction(*_chroma_coeffs(c)), _cfl_sql, "image_id gy gx u w", "alpha residual restored", bools="used")
 
 
+def _bucketed_prediction(c, buckets=8):
+    """Channel prediction over tables bucketed by block: neither the joins nor the groupings exchange rows."""
+    from gridloom.sources.buckets import write_bucketed
+
+    key = ["image_id", "gy", "gx"]
+    return bl.channel_prediction(*[write_bucketed(x, key, buckets, ["u", "w"]) for x in _chroma_coeffs(c)])
+
+
+add("channel_prediction_bucketed", _bucketed_prediction, _cfl_sql, "image_id gy gx u w", "alpha residual restored", bools="used")
+
+
 def _golden(c):
     g = sx.block_mean(c.ship(), 4)
     return bl.golden_residual(g.withColumn("q", F.floor(C("v") * 4).cast("int")))
