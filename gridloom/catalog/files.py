@@ -8,6 +8,7 @@ from gridloom.catalog.base import add
 from gridloom.functions.color import gct_forward
 from gridloom.session import scratch_folder
 from gridloom.sources.files import write_files
+from gridloom.sources.sinks import read_window, write_planes, write_zordered
 from gridloom.sources.images import codec_header, list_images, png, read_images, scan_codec_files
 
 C = F.col
@@ -92,3 +93,21 @@ add("image_files", lambda c: read_images(c.spark, _png_files(c)).select(_number(
     "image y x r g b h w", bools="ok")
 add("image_listing", lambda c: list_images(c.spark, _png_files(c)).select(_number("path"), (C("length") > 30).alias("long_file")),
     lambda q: q.cte(f"SELECT DISTINCT image_id AS image, image_id % 10 <> {SHORT} AND image_id % 10 <> {WRONG} AS long_file FROM {q.pixels()}"), "image", bools="long_file")
+
+
+def _window(c):
+    folder = _folder(c)
+    write_zordered(c.ship(), folder, group_bytes=1 << 16)
+    return read_window(c.spark, folder, 16, 32, 8, 24)
+
+
+add("zorder_window", _window, lambda q: q.cte(f"SELECT {q.PX}, v FROM {q.ship()} WHERE y >= 16 AND y < 32 AND x >= 8 AND x < 24"), "image_id ch y x", "v")
+
+
+def _written_planes(c):
+    folder = _folder(c)
+    write_planes(c.plane().select("image_id", "ch", "y", "x", "v"), folder, 4)
+    return c.spark.read.parquet(folder)
+
+
+add("planes_written", _written_planes, lambda q: q.cte(f"SELECT {q.PX}, v FROM {q.plane()}"), "image_id ch y x", "v")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.orders import morton_code
 from gridloom.tiling import TILE
 
 
@@ -30,3 +31,22 @@ def write_planes(plane: DataFrame, path: str, buckets=64):
     })
     df = df.repartition("bucket", "image_id", "_ty", "_tx").drop("_ty", "_tx")
     df.sortWithinPartitions("bucket", "image_id", "ch", "y", "x").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def write_zordered(plane: DataFrame, path: str, files=8, group_bytes=1 << 20, images_first=False):
+    """Parquet laid out along the Z-order of cells, with row groups of about ``group_bytes``.
+
+    Range partitions by Morton code, sorted within: a row group covers a compact
+    window of cells, and its minima and maxima of y and x let a reader of a
+    window skip it.  By default the cells of all images lie together (many small
+    images); ``images_first`` lays out image by image (few large ones).
+    """
+    place = ["image_id", "ch", "_z"] if images_first else ["_z", "image_id", "ch"]
+    df = plane.withColumn("_z", morton_code(F.col("y"), F.col("x")))
+    df = df.repartitionByRange(files, *place).sortWithinPartitions(*place).drop("_z")
+    df.write.mode("overwrite").option("parquet.block.size", group_bytes).parquet(path)
+
+
+def read_window(spark, path: str, y0: int, y1: int, x0: int, x1: int) -> DataFrame:
+    """Cells y0 .. y1 - 1, x0 .. x1 - 1 of all images; row groups outside are skipped by their statistics."""
+    return spark.read.parquet(path).where(f"y >= {y0} AND y < {y1} AND x >= {x0} AND x < {x1}")
