@@ -5,21 +5,19 @@ over it chooses the bucket boundaries that minimise padding for a given number
 of buckets; every document is then padded to its bucket's boundary, and batches
 of at most a token budget are formed inside each bucket.
 
-The histogram the driver sees is bounded: lengths up to ``EXACT`` are their own
-cells, longer ones share cells of at most 1/``EXACT`` of their length, so even
-lengths to 2**63 give under ``EXACT`` * 54 cells.  A cell's longest length is a
-possible boundary and its true token sum enters the cost, so the optimum is over
-all boundaries at cells' ends (all lengths, while they stay within ``EXACT``).
+The histogram that the driver sees has a row of three numbers for each distinct
+length, 24 bytes each: a million different lengths are 24 MB.  The program over
+it is exact: any length may be a boundary.
 """
 
-import numpy as np
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import WORD_SPLIT
 from gridloom.session import cut_lineage
 
-EXACT = 512
 ROWS_PER_RUN = 50_000  # rows numbered by one task
 
 
@@ -29,51 +27,56 @@ def word_tokens(text):
     return F.size(F.array_remove(words, "")).cast("long") + 1
 
 
-def _cell(length):
-    """Number of a length's cell, ascending with the length."""
-    octave = F.floor(F.log2(length.cast("double"))) - int(np.log2(EXACT))
-    step = F.pow(F.lit(2.0), F.greatest(octave, F.lit(0)))
-    return (F.ceil(length / step) * step).cast("long")
-
-
-def optimal_boundaries(lengths, counts, sums, buckets):
+def optimal_boundaries(lengths, counts, buckets):
     """Boundaries (ascending, the last is the longest length) with the least padding, and that padding.
 
-    Cells ascend; ``lengths`` are their longest, ``sums`` their token sums.  The
-    cost of a bucket of cells i..j is lengths[j] * rows - tokens.
+    Lengths ascend.  A last bucket of lengths i..j costs lengths[j] * rows(i..j)
+    less its tokens: for each i a line in lengths[j], whose slope falls as i
+    grows while lengths[j] grows with j.  So the lower envelope of the lines is
+    kept as a queue and every bucket more takes one pass over the lengths.
     """
-    lengths, counts, sums = (np.asarray(x, dtype=float) for x in (lengths, counts, sums))
+    lengths, counts = [int(x) for x in lengths], [int(x) for x in counts]
     n = len(lengths)
     if n == 0:
-        return [], 0.0
-    rows, tokens = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(sums)])
-    best = lengths * rows[1:] - tokens[1:]  # one bucket for cells 0..j
+        return [], 0
+    rows = [0, *itertools.accumulate(counts)]
+    tokens = [0, *itertools.accumulate(a * b for a, b in zip(lengths, counts))]
+    best = [lengths[j] * rows[j + 1] - tokens[j + 1] for j in range(n)]  # one bucket for lengths 0..j
     cuts = []
     for _ in range(min(buckets, n) - 1):
-        nxt, cut = np.empty(n), np.empty(n, dtype=int)
+        nxt, cut, lines, front = [], [], [], 0
         for j in range(n):
-            # earlier buckets end at cell i - 1, the last one holds i..j; i = 0 leaves it alone
-            cost = np.concatenate([[0], best[:j]]) + lengths[j] * (rows[j + 1] - rows[: j + 1]) - (tokens[j + 1] - tokens[: j + 1])
-            cut[j] = int(np.argmin(cost))
-            nxt[j] = cost[cut[j]]
+            # earlier buckets end at i - 1, the last one holds i..j; i = 0 leaves it alone
+            new = (-rows[j], (best[j - 1] if j else 0) + tokens[j], j)
+            while len(lines) - front >= 2 and _hidden(lines[-2], lines[-1], new):
+                lines.pop()
+            lines.append(new)
+            x = lengths[j]
+            while front + 1 < len(lines) and lines[front + 1][0] * x + lines[front + 1][1] < lines[front][0] * x + lines[front][1]:
+                front += 1
+            nxt.append(lines[front][0] * x + lines[front][1] + x * rows[j + 1] - tokens[j + 1])
+            cut.append(lines[front][2])
         best = nxt
         cuts.append(cut)
     ends, j = [], n - 1
     for cut in reversed(cuts):
-        ends.append(int(lengths[j]))
-        j = int(cut[j]) - 1
+        ends.append(lengths[j])
+        j = cut[j] - 1
         if j < 0:
             break
     if j >= 0:
-        ends.append(int(lengths[j]))
-    return ends[::-1], float(best[-1])
+        ends.append(lengths[j])
+    return ends[::-1], best[-1]
+
+
+def _hidden(a, b, c):
+    """Whether line b (slope, intercept) lies nowhere below both a and c; slopes fall from a to c."""
+    return (c[1] - a[1]) * (a[0] - b[0]) <= (b[1] - a[1]) * (a[0] - c[0])
 
 
 def histogram(docs: DataFrame, length) -> DataFrame:
-    """Cells of the global length histogram: cell, longest, rows, tokens."""
-    return docs.select(length.cast("long").alias("len")).groupBy(_cell(F.col("len")).alias("cell")).agg(
-        F.max("len").alias("longest"), F.count("*").alias("rows"), F.sum("len").alias("tokens"),
-    )
+    """The global length histogram: len, rows."""
+    return docs.select(length.cast("long").alias("len")).groupBy("len").agg(F.count("*").alias("rows"))
 
 
 def pack(docs: DataFrame, buckets=16, budget=16384, length=None) -> DataFrame:
@@ -87,9 +90,10 @@ def pack(docs: DataFrame, buckets=16, budget=16384, length=None) -> DataFrame:
     """
     length = word_tokens(F.col("text")) if length is None else length
     sized = cut_lineage(docs.select("doc_id", length.cast("long").alias("length")))  # texts are read once
-    cells = sorted(histogram(sized, F.col("length")).collect())
-    ends, _ = optimal_boundaries([c.longest for c in cells], [c.rows for c in cells], [c.tokens for c in cells], buckets)
-    total = sum(c.rows for c in cells)
+    found = histogram(sized, F.col("length")).toArrow().sort_by("len")
+    lengths, counts = found.column("len").to_pylist(), found.column("rows").to_pylist()
+    ends, _ = optimal_boundaries(lengths, counts, buckets)
+    total = sum(counts)
     runs = max(1, -(-total // ROWS_PER_RUN))
     bounds = F.array(*[F.lit(e).cast("long") for e in ends]) if ends else F.array(F.lit(0).cast("long"))
     rows = sized.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < F.col("length"))).cast("int"))

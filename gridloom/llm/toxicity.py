@@ -242,7 +242,9 @@ def mine(rows: DataFrame, terms=400, least_share=0.01, least_odds=1.5):
     words = F.filter(words, lambda w: F.length(w) >= 3)
     rows = rows.select("label", words.alias("w"))
     # most near copies share their four smallest word hashes: a group of them counts once
-    rows = rows.withColumn("look", F.slice(F.array_sort(F.transform("w", lambda w: F.xxhash64(w))), 1, 4)).dropDuplicates(["label", "look"])
+    rows = rows.withColumn("look", F.slice(F.array_sort(F.transform("w", lambda w: F.xxhash64(w))), 1, 4))
+    # the one that counts is chosen by its words, whichever row comes first
+    rows = rows.groupBy("label", "look").agg(F.min_by("w", F.xxhash64(F.array_sort("w"))).alias("w"))
     size = rows.agg(F.sum("label").alias("toxic"), F.count("label").alias("all")).first()
     toxic, clean = float(size["toxic"] or 0), float((size["all"] or 0) - (size["toxic"] or 0))
     if not toxic or not clean:

@@ -224,7 +224,7 @@ def test_boundaries_are_optimal():
         lengths = sorted(r.sample(range(1, 40), n))
         counts = [r.randint(1, 9) for _ in lengths]
         sums = [a * b for a, b in zip(lengths, counts)]
-        ends, cost = packing.optimal_boundaries(lengths, counts, sums, k)
+        ends, cost = packing.optimal_boundaries(lengths, counts, k)
         best = min(
             sum(min(e for e in [*c, lengths[-1]] if e >= a) * b for a, b in zip(lengths, counts)) - sum(sums)
             for m in range(min(k, n)) for c in itertools.combinations(lengths[:-1], m)
@@ -233,6 +233,21 @@ def test_boundaries_are_optimal():
         assert cost == sum(min(e for e in ends if e >= a) * b for a, b in zip(lengths, counts)) - sum(sums)
 
 
+def test_boundaries_are_optimal_for_long_and_many_lengths():
+    """Every distinct length may be a boundary, also beyond some thousands of words."""
+    r = random.Random(3)
+    for n, k, top in ((300, 7, 20_000), (200, 16, 1 << 40), (250, 3, 260)):
+        lengths = sorted(r.sample(range(1, top), n))
+        counts = [r.choice([1, 1, 1, 5, 400]) for _ in lengths]
+        rows, tokens = [0, *itertools.accumulate(counts)], [0, *itertools.accumulate(a * b for a, b in zip(lengths, counts))]
+        cost = lambda i, j: lengths[j] * (rows[j + 1] - rows[i]) - (tokens[j + 1] - tokens[i])
+        best = [cost(0, j) for j in range(n)]
+        for _ in range(k - 1):
+            best = [min([cost(0, j)] + [best[i - 1] + cost(i, j) for i in range(1, j + 1)]) for j in range(n)]
+        ends, found = packing.optimal_boundaries(lengths, counts, k)
+        assert found == best[-1] == sum(min(e for e in ends if e >= a) * b for a, b in zip(lengths, counts)) - tokens[-1]
+
+
 def test_batches_hold_the_budget_and_every_row(spark):
     r = random.Random(6)
     texts = ODD + ["x " * r.choice([3, 3, 3, r.randint(1, 400)]) for _ in range(300)]

@@ -34,3 +34,18 @@ def test_terms_joined_by_marks_are_found():
     assert found("moron,id*ot/m*ron") == [(0, "moron", 0), (0, "idiot", 1), (0, "moron", 1)]
     assert found("plain-words/with,marks ... --") == []
     assert [h[3] for h in lexicon.hits('he said "you/idiot" again')[0]] == [True]
+
+
+def test_the_lexicon_is_the_same_under_any_partitioning(spark):
+    """Rows that share their four smallest word hashes count once, whichever comes first."""
+    import random
+
+    rng = random.Random(12)
+    common = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omega".split()
+    rows = [(k % 2, " ".join(common + [rng.choice(["idiot", "moron", "fool", "clown"]) if k % 2 else "kind", f"w{k % 9}"])) for k in range(200)]
+    rows += [(k % 2, " ".join(rng.sample(common, 5) + (["idiot"] if k % 2 else ["thanks"]))) for k in range(200)]
+    found = []
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        found.append(toxicity.mine(spark.createDataFrame(rows, "label int, text string").repartition(parts)))
+    assert found[0] == found[1] and found[0][0]
