@@ -10,9 +10,14 @@ def grid_from_events(df: DataFrame, image, y, x, value, width=None) -> DataFrame
     """Sparse facts to a dense grid per image; missing cells are 0.
 
     Cells are summed first; the dense cells are generated per image row from the
-    extent, so the fill is spread over tasks and needs no cross join.
+    extent, so the fill is spread over tasks and needs no cross join.  A fact
+    without a place in the grid (a null or negative coordinate, or one beyond
+    ``width``) ends the job with an error instead of being left out.
     """
-    facts = df.select(image.cast("long").alias("image_id"), y.cast("int").alias("y"), x.cast("int").alias("x"), value.alias("v"))
+    y, x = y.cast("int"), x.cast("int")
+    inside = (y >= 0) & (x >= 0) & (x < width if width is not None else F.lit(True))
+    place = F.when(F.coalesce(inside, F.lit(False)), y).otherwise(F.raise_error(F.concat(F.lit("a fact lies outside the grid: y, x = "), F.concat_ws(", ", F.array(y, x).cast("array<string>")))))
+    facts = df.select(image.cast("long").alias("image_id"), place.alias("y"), x.alias("x"), value.alias("v"))
     sums = cut_lineage(facts.groupBy("image_id", "y", "x").agg(F.sum("v").alias("v")))  # read four times below
     # The grid is common to all images: its size is two numbers.
     size = sums.agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))

@@ -54,3 +54,16 @@ def test_small_differences_reach_the_clusters(spark, ship):
     got = {(r.image_id, r.y, r.x): r.e for r in points if r.x < 30}
     assert len(energy) > 200 and all(abs(got[k] - e) < 1e-5 for k, e in energy.items() if k[2] < 27)
     assert len({(r.image_id, r.comp) for r in points}) == 2
+
+
+@pytest.mark.parametrize("y, x", [(-1, 0), (0, -2), (0, 5), (None, 0), (0, None)])
+def test_facts_outside_the_grid_are_refused(spark, y, x):
+    from pyspark.sql import functions as F
+
+    from gridloom.sources.grids import grid_from_events
+
+    inner = spark.createDataFrame([(1, 0, 4, 2.0), (1, 1, 0, 3.0)], "i long, y int, x int, v double")
+    grid = lambda df: grid_from_events(df, F.col("i"), F.col("y"), F.col("x"), F.col("v"), 5)
+    assert grid(inner).agg(F.sum("v")).first()[0] == 5.0
+    with pytest.raises(Exception, match="outside the grid"):
+        grid(inner.union(spark.createDataFrame([(1, y, x, 1.0)], "i long, y int, x int, v double")))
