@@ -289,7 +289,20 @@ def _struct_sql(q):
 
 
 add("structure_aware_sharpen", lambda c: fl.structure_aware_sharpen(c.plane(), _ecls(c, 4), 4), _struct_sql, PX, "out")
-add("wiener_denoise", lambda c: fl.wiener_denoise(c.plane(), 20.0), None, PX, "out")
+
+
+def _wiener_sql(q, sigma=20.0, h=32, w=40):
+    """Discrete Fourier transforms by joins with a basis for each axis."""
+    wave = lambda n: q.cte(f"SELECT k, i, cos(2 * pi() * (k * i % {n}) / {n}) AS c, sin(2 * pi() * (k * i % {n}) / {n}) AS s FROM unnest(range({n})) AS a(k), unnest(range({n})) AS b(i)", "wave")
+    across, down = wave(w), wave(h)
+    r = q.cte(f"SELECT image_id, ch, y, k, sum(v * c) AS re, -sum(v * s) AS im FROM {q.plane()} JOIN {across} ON i = x GROUP BY ALL")
+    f = q.cte(f"SELECT image_id, ch, r.k, b.k AS u, sum(re * c + im * s) AS re, sum(im * c - re * s) AS im FROM {r} r JOIN {down} b ON b.i = r.y GROUP BY ALL")
+    g = q.cte(f"SELECT image_id, ch, k, u, re * gain AS re, im * gain AS im FROM (SELECT *, greatest(p - {sigma * sigma}::DOUBLE, 0.0) / (p + 1e-10) AS gain FROM (SELECT *, (re * re + im * im) / {h * w}.0::DOUBLE AS p FROM {f}))")
+    c = q.cte(f"SELECT image_id, ch, g.k, b.i AS y, sum(re * c - im * s) / {h}.0::DOUBLE AS re, sum(re * s + im * c) / {h}.0::DOUBLE AS im FROM {g} g JOIN {down} b ON b.k = g.u GROUP BY ALL")
+    return q.cte(f"SELECT image_id, ch, y, b.i AS x, least(greatest(sum(re * c - im * s) / {w}.0::DOUBLE, 0.0), 255.0) AS out FROM {c} c JOIN {across} b ON b.k = c.k GROUP BY ALL")
+
+
+add("wiener_denoise", lambda c: fl.wiener_denoise(c.plane(), 20.0), _wiener_sql, PX, "out")
 
 
 def _sat_sql(q):
