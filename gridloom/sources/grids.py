@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, shuffled
 
 
 def grid_from_events(df: DataFrame, image, y, x, value, width=None) -> DataFrame:
@@ -28,7 +28,7 @@ def grid_from_events(df: DataFrame, image, y, x, value, width=None) -> DataFrame
     })
     rows = images.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).repartition("image_id", "y")
     cells = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    dense = cells.join(sums, ["image_id", "y", "x"], "left")
+    dense = cells.join(shuffled(sums), ["image_id", "y", "x"], "left")
     return dense.select("image_id", F.lit(0).alias("ch"), "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"), "h", "w")
 
 
