@@ -48,11 +48,15 @@ def _byte(e):
 def plane_from_arrays(df: DataFrame, ident, array, tiles_wide=5, tiles_high=4, side=8) -> DataFrame:
     """Fixed-length arrays as square tiles of larger images, scaled to 0..255."""
     tiles = tiles_wide * tiles_high
-    px = df.select(F.col(ident).alias("_id"), F.posexplode(array).alias("i", "e"))
+    b = F.col("_id") % tiles
+    size = df.select(F.col(ident).alias("_id")).groupBy(F.floor(F.col("_id") / tiles).cast("long").alias("image_id")).agg(
+        ((F.max(F.floor(b / tiles_wide)) + 1) * side).cast("int").alias("h"), ((F.max(b % tiles_wide) + 1) * side).cast("int").alias("w"))
+    # the last image may lack tiles, and then whole rows or columns of them
+    sized = df.select(F.col(ident).alias("_id"), F.floor(F.col(ident) / tiles).cast("long").alias("image_id"), array).join(size, "image_id")
+    px = sized.select("_id", "h", "w", F.posexplode(array).alias("i", "e"))
     image, y, x = _tile_position(F.col("_id"), F.col("i"), tiles_wide, tiles, side)
     return px.select(
-        image.alias("image_id"), F.lit(0).alias("ch"), y.alias("y"), x.alias("x"), _byte(F.col("e")).cast("double").alias("v"),
-        F.lit(tiles_high * side).alias("h"), F.lit(tiles_wide * side).alias("w"),
+        image.alias("image_id"), F.lit(0).alias("ch"), y.alias("y"), x.alias("x"), _byte(F.col("e")).cast("double").alias("v"), "h", "w",
     )
 
 
