@@ -14,6 +14,7 @@ from gridloom.sources.images import codec_header, list_images, png, read_images,
 C = F.col
 # every tenth file is cut short, another tenth has a wrong magic (or a broken chunk)
 SHORT, WRONG = 3, 7
+HIGH, WIDE = 32, 40  # frame of an image
 
 
 def _folder(c):
@@ -26,7 +27,7 @@ def _image_facts(c):
     p = c.pixels().withColumns({"l": lum, "c1": c1, "c2": c2, "p": (C("r") * 65536 + C("g") * 256 + C("b")).cast("int")})
     lines = p.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "p"))).alias("line"), *[f(k).alias(f"{k}_{n}") for k in ("l", "c1", "c2") for n, f in (("min", F.min), ("max", F.max))])
     return lines.groupBy("image_id").agg(
-        F.array_sort(F.collect_list(F.struct("y", C("line.p").alias("p")))).alias("rows"),
+        F.array_sort(F.collect_list(F.struct("y", C("line.p").alias("p"), C("line.x").alias("x")))).alias("rows"),
         *[f(f"{k}_{n}").alias(f"{k}_{n}") for k in ("l", "c1", "c2") for n, f in (("min", F.min), ("max", F.max))])
 
 
@@ -74,7 +75,13 @@ add("codec_headers_long", lambda c: scan_codec_files(c.spark, _codec_files(c)).w
 
 def _png_files(c):
     f = _image_facts(c)
-    whole = png(C("rows.p"))
+    # An image that lacks tiles has clear pixels there.
+    cells = F.map_from_entries(F.flatten(F.transform("rows", lambda r: F.zip_with(r["x"], r["p"], lambda x, p: F.struct(r["y"] * WIDE + x, p)))))
+    side = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    filled = F.transform(side(HIGH), lambda y: F.transform(side(WIDE), lambda x: F.coalesce(F.try_element_at("_cells", y * WIDE + x), F.lit(-1))))
+    dense = F.aggregate("rows", F.lit(0), lambda n, r: n + F.size(r["p"])) == HIGH * WIDE
+    f = f.withColumn("_cells", F.when(~dense, cells)).withColumn("_rows", F.when(dense, C("rows.p")).otherwise(filled))
+    whole = png("_rows")
     kind = C("image_id") % 10
     content = F.when(kind == SHORT, F.substring(whole, 1, 30)).when(kind == WRONG, F.concat(F.lit(b"JUNK"), F.substring(whole, 5, 20))).otherwise(whole)
     folder = _folder(c)
@@ -86,7 +93,7 @@ def _number(path):
     return F.regexp_extract(path, r"(\d+)\.png$", 1).cast("long").alias("image")
 
 
-add("image_files", lambda c: read_images(c.spark, _png_files(c)).select(_number("path"), "ok", "y", "x", "r", "g", "b", "h", "w"),
+add("image_files", lambda c: read_images(c.spark, _png_files(c)).where("not ok or a > 0").select(_number("path"), "ok", "y", "x", "r", "g", "b", "h", "w"),
     lambda q: q.cte(
         f"SELECT image_id AS image, true AS ok, y, x, r, g, b, 32 AS h, 40 AS w FROM {q.pixels()} WHERE image_id % 10 NOT IN ({SHORT}, {WRONG}) "
         f"UNION ALL SELECT DISTINCT image_id, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {q.pixels()} WHERE image_id % 10 IN ({SHORT}, {WRONG})"),

@@ -28,7 +28,7 @@ def list_images(spark, folder: str, pattern="*.png") -> DataFrame:
 
 
 def read_images(spark, folder: str) -> DataFrame:
-    """Decode PNG/JPEG/BMP files into pixels (image_id, path, ok, y, x, r, g, b, h, w).
+    """Decode PNG/JPEG/BMP files into pixels (image_id, path, ok, y, x, r, g, b, h, w, a).
 
     image_id is a hash of the path, so it does not depend on file order.  A file
     that cannot be decoded gives one row with ok = false and nulls after it.
@@ -44,19 +44,19 @@ def read_images(spark, folder: str) -> DataFrame:
     rows = rows.repartition("image_id", "y")
     px = rows.select("image_id", "path", "ok", "h", "w", "y", F.posexplode_outer("row").alias("x", "c"))
     part = lambda s: F.shiftright("c", s).bitwiseAND(F.lit(255)).cast("int")
-    return px.select("image_id", "path", "ok", "y", "x", part(16).alias("r"), part(8).alias("g"), part(0).alias("b"), "h", "w")
+    return px.select("image_id", "path", "ok", "y", "x", part(16).alias("r"), part(8).alias("g"), part(0).alias("b"), "h", "w", (255 - part(24)).alias("a"))
 
 
 @F.pandas_udf(T.BinaryType())
 def png(rows: pd.Series) -> pd.Series:
-    """PNG files of images given as lists of rows of packed 24-bit colours."""
+    """PNG files of images given as lists of rows of packed 24-bit colours; negative ones are clear pixels."""
     chunk = lambda kind, d: struct.pack(">I", len(d)) + kind + d + struct.pack(">I", zlib.crc32(kind + d))
     out = []
     for image in rows:
         c = np.stack([np.asarray(r, dtype=np.int64) for r in image])
-        rgb = np.stack([c >> 16, c >> 8 & 255, c & 255], axis=2).astype(np.uint8)
+        rgb = np.stack([c >> 16, c >> 8 & 255, c & 255] + ([np.where(c < 0, 0, 255)] if (c < 0).any() else []), axis=2).astype(np.uint8)
         lines = np.concatenate([np.zeros((len(c), 1), np.uint8), rgb.reshape(len(c), -1)], axis=1)
-        head = struct.pack(">IIBBBBB", c.shape[1], c.shape[0], 8, 2, 0, 0, 0)
+        head = struct.pack(">IIBBBBB", c.shape[1], c.shape[0], 8, 2 if rgb.shape[2] == 3 else 6, 0, 0, 0)
         out.append(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b""))
     return pd.Series(out)
 
