@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 
 from gridloom.session import cut_lineage, shuffled
 
+STRETCH = 1024  # cells of a row that are one record while facts join them
+
 
 def grid_from_events(df: DataFrame, image, y, x, value, width=None) -> DataFrame:
     """Sparse facts to a dense grid per image; missing cells are 0.
 
-    Cells are summed first; the dense cells are generated per image row from the
-    extent, so the fill is spread over tasks and needs no cross join.  A fact
+    Cells are summed first; the dense cells are generated per stretch of an image
+    row from the extent, so the fill is spread over tasks and needs no cross join.  A fact
     without a place in the grid (a null or negative coordinate, or one beyond
     ``width``) ends the job with an error instead of being left out.
     """
@@ -26,10 +28,16 @@ def grid_from_events(df: DataFrame, image, y, x, value, width=None) -> DataFrame
     images = sums.select("image_id").distinct().withColumns({
         "h": size.select("h").scalar(), "w": size.select("w").scalar(),
     })
-    rows = images.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).repartition("image_id", "y")
-    cells = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    dense = cells.join(shuffled(sums), ["image_id", "y", "x"], "left")
-    return dense.select("image_id", F.lit(0).alias("ch"), "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"), "h", "w")
+    # Joined while a stretch of a row is one record: cells are laid out behind the join, so no task sorts them.
+    rows = images.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.floor((F.col("w") - 1) / STRETCH))))
+    filled = sums.groupBy("image_id", "y", F.floor(F.col("x") / STRETCH).alias("_s")).agg(F.collect_list(F.struct("x", F.coalesce("v", F.lit(0.0)).alias("v"))).alias("_f"))
+    dense = rows.join(shuffled(filled), ["image_id", "y", "_s"], "left")
+    first = (F.col("_s") * STRETCH).cast("int")
+    xs = F.sequence(first, F.least(first + STRETCH, F.col("w")) - 1)
+    given = F.coalesce("_f", F.array().cast("array<struct<x:int,v:double>>"))
+    empty = F.transform(F.array_except(xs, given["x"]), lambda i: F.struct(i.alias("x"), F.lit(0.0).alias("v")))
+    cells = dense.select("image_id", "y", "h", "w", F.explode(F.concat(given, empty)).alias("_c"))
+    return cells.select("image_id", F.lit(0).alias("ch"), "y", F.col("_c.x").alias("x"), F.col("_c.v").alias("v"), "h", "w")
 
 
 def _tile_position(vec_id, i, tiles_wide, tiles, side):
