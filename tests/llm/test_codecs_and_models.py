@@ -277,3 +277,27 @@ def test_pipeline_equals_its_stages_on_a_small_corpus(spark, labelled, tmp_path)
 
 def test_queries_cover_the_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def test_payloads_reach_every_part_of_the_decoder_that_shortens_them():
+    r = np.random.default_rng(3)
+    words = ["".join(chr(97 + k) for k in r.integers(0, 26, r.integers(2, 9))) for _ in range(400)]
+    prose = " ".join(r.choice(words, 700))
+    prose += " " * (-len(prose) % 4)
+    texts = {
+        "literals": prose[:1500],
+        "cache": prose + prose,
+        "palette": "".join(r.choice(["abcd", "efgh", "ijkl"], 300)),
+        "predictor": "".join(chr(0x430 + k) for k in r.integers(0, 32, 3000)),
+        "subtract green": bytes((r.integers(4, 124, (4000, 1)) + r.integers(-3, 4, (4000, 4))).astype(np.uint8).ravel()).decode(),
+        "long copies": "x" * 40000 + prose + "y" * 40000,
+    }
+    payloads = [webp.padded(t.encode()) for t in texts.values()]
+    files = webp.write_payloads(payloads)
+    for (name, text), p, f, pixels in zip(texts.items(), payloads, files, webp.decode_all(files)):
+        assert pixels.tobytes()[: len(p)] == p == webp.decode(f).tobytes()[: len(p)], name
+        assert webp.write_payloads([p]) == [f], name
+        data = webp._image_data(f)
+        opened = webp.Opened(data, *webp._head(webp.Bits(data)))
+        used = opened.names + (["cache"] if opened.cache else [])
+        assert name in used or (name == "literals" and not used) or (name == "long copies" and used == ["cache"]), (name, used)
