@@ -56,30 +56,30 @@ def repair(ids, base, least=8, gain=0.02, rounds=16):
         slot = (code.view(np.uint64) * odd >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
         holder = np.empty(1 << SLOT_BITS, dtype=np.int64)
         holder[slot[::-1]] = code[::-1]
-        count = np.bincount(slot[holder[slot] == code], minlength=1 << SLOT_BITS)
+        own = holder[slot] == code
+        count = np.bincount(slot[own], minlength=1 << SLOT_BITS)
         held = np.flatnonzero(count >= least)
+        if not len(held):
+            break
         pairs, count = holder[held], count[held]
         number_of = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
-        number_of[held] = np.arange(len(held))
+        number_of[held] = np.arange(len(held), dtype=np.int32)
         at = number_of[slot]
-        where = np.flatnonzero((at >= 0) & (holder[slot] == code))
+        where = np.flatnonzero((at >= 0) & own).astype(np.int32)
         at = at[where]
-        order = np.lexsort((pairs, -count))
-        order = order[count[order] >= least]
-        if not len(order):
-            break
-        rank_of = np.full(len(pairs), len(pairs))
-        rank_of[order] = np.arange(len(order))
-        rank = np.full(len(code) + 2, len(pairs))
-        rank[where + 1] = rank_of[at]
-        mine = rank[where + 1]
+        rank_of = np.empty(len(pairs), dtype=np.int32)
+        rank_of[np.lexsort((pairs, -count))] = np.arange(len(pairs), dtype=np.int32)
+        mine = rank_of[at]
+        beside = where[1:] == where[:-1] + 1
         # in a run of one repeated id its pair overlaps itself: every second place counts
-        here = np.arange(len(rank))
-        even = (here - np.maximum.accumulate(np.where(np.diff(rank, prepend=-1) != 0, here, 0)) & 1) == 0
-        chosen = (mine < len(pairs)) & (mine <= rank[where]) & even[where + 1] & (mine <= rank[where + 2])
+        here = np.arange(len(where), dtype=np.int32)
+        head = np.where(np.concatenate([[False], beside & (mine[1:] == mine[:-1])]), 0, here).astype(np.int32)
+        chosen = (here - np.maximum.accumulate(head) & 1) == 0
+        chosen[1:] &= ~beside | (mine[1:] <= mine[:-1])
+        chosen[:-1] &= ~beside | (mine[:-1] <= mine[1:])
         uses = np.bincount(at[chosen], minlength=len(pairs))
         chosen &= uses[at] >= 2
-        if chosen.sum() < gain * len(seq):
+        if np.count_nonzero(chosen) < gain * len(seq):
             break
         used = np.flatnonzero(uses >= 2)
         number = np.zeros(len(pairs), dtype=np.int64)

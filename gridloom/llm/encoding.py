@@ -36,13 +36,16 @@ class TokenBytes(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.words = [i.to_bytes(4, "little") for i in range(self.vocabulary)]
 
     def __missing__(self, piece):
         if piece.isascii() and piece.isprintable():  # of these only the space is written otherwise
             letters = piece.replace(" ", _LETTERS[32])
         else:
             letters = piece.encode().decode("latin-1").translate(_LETTERS)
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters)])
+        words = self.words
+        ids = b"".join([words[t.id] for t in self.tokenize(letters)])
         if len(piece) <= 40:
             self[piece] = ids
         return ids

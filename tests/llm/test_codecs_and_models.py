@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -301,3 +302,40 @@ def test_payloads_reach_every_part_of_the_decoder_that_shortens_them():
         opened = webp.Opened(data, *webp._head(webp.Bits(data)))
         used = opened.names + (["cache"] if opened.cache else [])
         assert name in used or (name == "literals" and not used) or (name == "long copies" and used == ["cache"]), (name, used)
+
+
+def plain_repair(ids, base, least=8, gain=0.02, rounds=16):
+    """The rounds of ``archive.repair`` on lists, with exact counts."""
+    seq, rules = list(ids), []
+    for _ in range(rounds):
+        pairs = list(zip(seq, seq[1:]))
+        span = base + len(rules)
+        often = sorted((-n, a * span + b) for (a, b), n in Counter(pairs).items() if n >= least)
+        if len(seq) < 2 * least or not often:
+            break
+        rank = {divmod(code, span): k for k, (_, code) in enumerate(often)}
+        at = [rank.get(p, len(rank)) for p in pairs]
+        runs = [0] * len(at)
+        for i in range(1, len(at)):
+            runs[i] = runs[i - 1] + 1 if at[i] == at[i - 1] else 0
+        around = [len(rank), *at, len(rank)]
+        chosen = [i for i, k in enumerate(at) if k < len(rank) and around[i] >= k <= around[i + 2] and runs[i] % 2 == 0]
+        uses = Counter(at[i] for i in chosen)
+        chosen = [i for i in chosen if uses[at[i]] >= 2]
+        if len(chosen) < gain * len(seq):
+            break
+        new = sorted(pairs[i] for i in {at[i]: i for i in chosen}.values())
+        rules += new
+        gone, named = {i + 1 for i in chosen}, {i: span + new.index(pairs[i]) for i in chosen}
+        seq = [named.get(i, s) for i, s in enumerate(seq) if i not in gone]
+    return seq, rules
+
+
+@pytest.mark.parametrize("symbols", [2, 3, 5])
+def test_repair_makes_the_grammar_of_the_plain_rounds(symbols):
+    r = np.random.default_rng(symbols)
+    ids = np.concatenate([r.integers(0, symbols, 900), np.ones(41, dtype=int), r.integers(0, symbols, 200)])
+    seq, rules, _ = archive.repair(ids, 50257, rounds=1)
+    want, made = plain_repair(ids.tolist(), 50257, rounds=1)
+    assert len(seq) == len(want) and sorted(map(tuple, rules.tolist())) == made
+    assert archive.expand(seq, rules, 50257).tolist() == ids.tolist()
